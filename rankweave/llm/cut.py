@@ -6,8 +6,10 @@ and scores every record. Two features are gathered from the whole corpus before:
 line occurs as a complete line elsewhere, and whether the longest capture of the same page goes on
 where this one stops.
 
-The classifier is fitted on at most ``TRAIN_ROWS`` intact records (chosen by hash, so the choice is
-stable), each of at most ``TRAIN_CHARS`` characters; nothing else is bounded.
+The classifier is fitted on at most ``TRAIN_ROWS`` records taken as intact: the stated length is the
+length, and no sibling goes on. They are chosen by hash, so the choice is stable, and have at most
+``TRAIN_CHARS`` characters each; nothing else is bounded. A few of them are cut all the same, which
+the regression bears.
 
 Defined results: NULL and blank texts are no case; a differing stated length alone is none; rows
 without url have no siblings; repeated rows are each scored; with no intact record to learn from,
@@ -20,6 +22,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.lines import STOP, WORD, furniture_score, is_prose, title_like
 from rankweave.llm.residue import masked
+from rankweave.session import written
 
-TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+CUT_SHARE = 0.4  # of the intact records are cut once
 BUCKETS = 2048
 MARK = r"\s*(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|(?:…|\.\.\.)?\s*\[\+\d+ (?:chars?|characters|bytes)\])\s*$"
 _MARK = re.compile(MARK)
@@ -39,25 +44,24 @@ _TERMINAL = re.compile(r"[.!?。！？][\"”’»)\]]*$")
 _CLAUSE = re.compile(r"[.!?。！？][\"”’»)\]]*\s+")
 
 
-def features(text: str, stated: int | None, known: bool, longer: bool) -> list[str]:
-    """Named features of one record; those that hold together are also crossed."""
+def closing(text: str, stated: int | None) -> tuple:
+    """What the end of a text looks like, before anything is known of other texts."""
     size, size_b = len(text), len(text.encode("utf-8", "replace"))
-    mark = bool(_MARK.search(text))
-    bare = _MARK.sub("", text)
+    mark = bool(_MARK.search(text[-40:]))
+    bare = _MARK.sub("", text) if mark else text
     tail = bare[-1:] or " "
     stripped = bare.rstrip()
     last = stripped.rsplit("\n", 1)[-1].strip()
-    score = furniture_score(last) if last else 0.0
-    furniture = score >= 1.5 and len(last) < 180
-    terminal = bool(_TERMINAL.search(last))
-    clause = _CLAUSE.split(last)[-1]
+    furniture = len(last) < 180 and furniture_score(last) >= 1.5 if last else False
+    terminal = bool(_TERMINAL.search(last[-4:]))
+    clause = _CLAUSE.split(last[-400:])[-1]
     words = WORD.findall(clause)
     final = stripped[-1:] or " "
     kind = (
         "broken" if "�" in bare[-4:] else "terminal" if terminal else "comma" if final in ",;:–-" else "digit" if final.isdigit() else "open" if final in "([{<\"“„«¿¡/" else "letter" if final.isalpha() else "other"
     )
-    prose = is_prose(last) or sum(w.lower() in STOP for w in words) >= 2 and len(words) >= 4
-    state = "known" if known else "furniture" if furniture else "title" if title_like(last) and not prose else "prose" if prose else "short" if len(words) <= 4 else "run"
+    prose = sum(w.lower() in STOP for w in words) >= 2 and len(words) >= 4 or is_prose(last)
+    state = "furniture" if furniture else "title" if not prose and title_like(last) else "prose" if prose else "short" if len(words) <= 4 else "run"
     round_ = "limit" if size % 100 == 0 or size_b % 100 == 0 or size in LIMITS or size_b in LIMITS else "none"
     if stated is None or stated <= 0:
         rel = "none"
@@ -68,14 +72,22 @@ def features(text: str, stated: int | None, known: bool, longer: bool) -> list[s
     else:
         rel = "less"
     word = words[-1].lower() if words else ""
-    out = [
-        f"kind={kind}", f"state={state}", f"round={round_}", f"stated={rel}", f"mark={mark}", f"longer={longer}", f"space={tail.isspace()}", f"tail={tail if not tail.isalnum() else 'w'}",
-        f"ks={kind},{state}", f"kr={kind},{round_}", f"sr={state},{round_}", f"st={state},{rel}", f"kt={kind},{rel}", f"kl={kind},{longer}", f"sl={state},{longer}", f"stop={word in STOP and not terminal}",
-        f"wl={min(len(word), 8)},{kind}" if prose else "wl=-", f"cl={min(len(words), 12)},{kind}",
+    alone = [
+        f"kind={kind}", f"round={round_}", f"stated={rel}", f"mark={mark}", f"space={tail.isspace()}", f"tail={tail if not tail.isalnum() else 'w'}", f"kr={kind},{round_}", f"kt={kind},{rel}",
+        f"stop={word in STOP and not terminal}", f"wl={min(len(word), 8)},{kind}" if prose else "wl=-", f"cl={min(len(words), 12)},{kind}",
     ]
-    if size != len(stripped) and not tail.isspace():
-        out.append("marked_after_space")
-    return out
+    return hashed(alone), kind, state, round_, rel, furniture
+
+
+@lru_cache(1 << 14)
+def _context(kind: str, state: str, round_: str, rel: str, longer: bool) -> list[int]:
+    return hashed([f"state={state}", f"longer={longer}", f"ks={kind},{state}", f"sr={state},{round_}", f"st={state},{rel}", f"kl={kind},{longer}", f"sl={state},{longer}"])
+
+
+def features(text: str, stated: int | None, known: bool, longer: bool) -> list[int]:
+    """Hashed features of one record: of its end, and crossed with what other texts tell."""
+    alone, kind, state, round_, rel, _ = closing(text, stated)
+    return alone + _context(kind, "known" if known else state, round_, rel, longer)
 
 
 def hashed(names: list[str]) -> list[int]:
@@ -85,9 +97,11 @@ def hashed(names: list[str]) -> list[int]:
 def artificial(intact: list[tuple[str, int | None, bool]], seed: int = 7) -> list[tuple[list[int], int]]:
     """Training rows: each intact record as it is, and once cut."""
     rnd, out = random.Random(seed), []
-    for text, stated, known in intact:
-        out.append((hashed(features(text, stated, known, False)), 0))
-        if len(text) < 80:
+    for text, _, known in intact:
+        r = rnd.random()  # stated lengths of intact records: right, missing, or counted before clean-up
+        said = len(text) if r < 0.8 else None if r < 0.9 else len(text) + rnd.randint(1, 3 + len(text) // 30)
+        out.append((features(text, said, known, False), 0))
+        if len(text) < 80 or rnd.random() > CUT_SHARE:
             continue
         if rnd.random() < 0.45 and (fit := [x for x in LIMITS if 0.1 * len(text) < x < 0.97 * len(text)]):
             at = rnd.choice(fit)
@@ -101,7 +115,7 @@ def artificial(intact: list[tuple[str, int | None, bool]], seed: int = 7) -> lis
         whole = text[at : at + 1] == "\n" and not piece.endswith("\n")  # the cut fell between lines
         r = rnd.random()
         said = len(text) if r < 0.4 else len(piece) if r < 0.85 else None
-        out.append((hashed(features(piece, said, whole, rnd.random() < 0.35)), 1))
+        out.append((features(piece, said, whole, rnd.random() < 0.35), 1))
     return out
 
 
@@ -135,48 +149,58 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, MARK, ""), "[\\s�]+$", "")
 
 
-def with_context(rows: DataFrame, key: str, text: str, page: Column, stated: str, source: str) -> DataFrame:
-    """Non-blank rows with ``_known`` (the last line is complete elsewhere) and ``_longer`` (a sibling goes on)."""
-    base = rows.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), F.xxhash64(page).alias("_page"), page.isNotNull().alias("_has_page")).filter(F.col("_text").rlike(r"\S"))
-    split = F.split(F.rtrim(F.regexp_replace("_text", r"\s+$", "")), "\n")
+def facts_of(rows: DataFrame, key: str, text: str, page: Column, stated: str) -> DataFrame:
+    """Of each non-blank row: ``inner`` and ``pages`` (its last line is complete elsewhere, or ends several pages), ``longer`` (a sibling goes on), ``right`` (the stated length is right)."""
+    base = rows.select(F.col(key).alias("_key"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), F.xxhash64(page).alias("_page"), page.isNotNull().alias("_has_page")).filter(F.col("_text").rlike(r"\S"))
+    split = F.split(F.regexp_replace("_text", r"\s+$", ""), "\n")
     n = F.size(split)
     lines = base.select("_page", F.explode(F.array_distinct(F.transform(split, lambda x, i: F.struct(F.xxhash64(masked(x)).alias("line"), (i < n - 1).alias("inner"))))).alias("_l"))
     seen = lines.groupBy("_l.line").agg(F.max(F.col("_l.inner")).alias("inner"), (F.min("_page") != F.max("_page")).alias("pages"))
-    last = base.withColumn("_line", F.xxhash64(masked(F.element_at(split, -1)))).withColumn("_len", F.length(_bare(F.col("_text")))).withColumn("_hash", F.xxhash64(_bare(F.col("_text"))))
-    slim = last.select("_key", "_page", "_has_page", "_line", "_len", "_hash")
+    seen = seen.filter(F.col("inner") | F.col("pages"))
+    right = (F.col("_stated") == F.length("_text")) | (F.col("_stated") == F.octet_length("_text"))
+    slim = base.withColumn("_bare", _bare(F.col("_text"))).select(
+        "_key", "_page", "_has_page", F.xxhash64(masked(F.element_at(split, -1))).alias("_line"), F.length("_bare").alias("_len"), F.xxhash64("_bare").alias("_hash"), (F.coalesce(right, F.lit(False)) & (F.length("_text") <= TRAIN_CHARS)).alias("right"), F.xxhash64("_text").alias("_order")
+    )
     longest = base.filter("_has_page").groupBy("_page").agg(F.max_by("_text", F.length("_text")).alias("_longest"))
     # one row per distinct (page, text) is compared with the page's longest capture
     ends = slim.filter("_has_page").select("_page", "_len", "_hash").distinct().join(longest, "_page")
     goes_on = (F.length("_longest") > F.col("_len") + 1) & (F.xxhash64(F.substring(F.col("_longest"), F.lit(1), F.col("_len"))) == F.col("_hash"))
     ends = ends.filter(goes_on).select("_page", "_len", "_hash", F.lit(True).alias("_longer"))
     facts = slim.join(seen, slim["_line"] == seen["line"], "left").join(ends, ["_page", "_len", "_hash"], "left")
-    return base, facts.select("_key", F.coalesce("inner", F.lit(False)).alias("_inner"), F.coalesce("pages", F.lit(False)).alias("_pages"), F.coalesce("_longer", F.lit(False)).alias("_longer"))
+    no = F.lit(False)
+    return facts.select("_key", F.coalesce("inner", no).alias("inner"), F.coalesce("pages", no).alias("pages"), F.coalesce("_longer", no).alias("longer"), "right", "_order")
 
 
 def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str, source: str) -> DataFrame:
-    """``key``, ``source`` and ``score`` (probability that the text is cut) of each non-blank record."""
-    base, facts = with_context(rows, key, text, page, stated, source)
-    joined = base.select("_key", "_source", "_stated", "_text").join(facts, "_key")
-    sure = F.col("_inner") | F.substring(F.rtrim("_text"), -1, 1).isin(".", "!", "?", "”", ")")
-    sample = joined.filter(sure & ~F.col("_longer") & (F.col("_stated") == F.length("_text")) & (F.length("_text") <= TRAIN_CHARS))
-    sample = sample.select("_text", "_stated", "_inner").orderBy(F.xxhash64("_text"), "_text").limit(TRAIN_ROWS)
-    intact = [(r["_text"], r["_stated"], r["_inner"]) for r in sample.collect()]
+    """``key``, ``source`` and ``score`` (probability that the text is cut) of each non-blank record.
+
+    Whole texts are scanned, never shuffled to be scored: a pass over them gives the score for each
+    outcome of the two corpus features, and the join with those features takes only numbers.
+    """
+    facts = written(facts_of(rows, key, text, page, stated), "cut-facts")
+    base = rows.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text")).filter(F.col("_text").rlike(r"\S"))
+    keys = facts.filter("right AND NOT longer").orderBy("_order", "_key").limit(TRAIN_ROWS).select("_key", "inner", "pages", "_order")
+    sample = base.select("_key", "_text", "_stated").join(F.broadcast(keys), "_key").orderBy("_order", "_key").collect()  # TRAIN_ROWS at most
+    intact = [(r["_text"], r["_stated"], r["inner"] or r["pages"] and closing(r["_text"], None)[-1]) for r in sample]
     weights = fit(artificial(intact))
-    types = {f.name: f.dataType.simpleString() for f in joined.schema}
+    types = {f.name: f.dataType.simpleString() for f in base.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b0 = weights.tolist(), float(weights[-1])
         for b in batches:
-            stated_, texts, inner, pages, longer = (b.column(i).to_pylist() for i in range(2, 7))
-            out = []
-            for t, s, k, p, g in zip(texts, stated_, inner, pages, longer):
-                last = t.rstrip().rsplit("\n", 1)[-1].strip()
-                known = k or (p and len(last) < 180 and furniture_score(last) >= 1.5)
-                z = weights[hashed(features(t, s, known, g))].sum() + weights[-1]
-                out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["_key", "_source", "score"])
-
-    scored = joined.mapInArrow(run, f"_key {types['_key']}, _source {types['_source']}, score double")
-    return scored.withColumnRenamed("_key", key).withColumnRenamed("_source", source)
+            out, furniture = [[], [], [], []], []
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                alone, kind, state, round_, rel, fur = closing(t, s)
+                z = b0 + sum(w[i] for i in alone)
+                for o, (name, longer) in zip(out, ((state, False), (state, True), ("known", False), ("known", True))):
+                    o.append(z + sum(w[i] for i in _context(kind, name, round_, rel, longer)))
+                furniture.append(fur)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.float64()) for o in out], pa.array(furniture, pa.bool_())], names=["_key", "_source", "z00", "z01", "z10", "z11", "_furniture"])
+
+    z = base.mapInArrow(run, f"_key {types['_key']}, _source {types['_source']}, z00 double, z01 double, z10 double, z11 double, _furniture boolean").join(facts, "_key")
+    known = F.col("inner") | (F.col("pages") & F.col("_furniture"))
+    one = F.when(known, F.when(F.col("longer"), F.col("z11")).otherwise(F.col("z10"))).otherwise(F.when(F.col("longer"), F.col("z01")).otherwise(F.col("z00")))
+    return z.select(F.col("_key").alias(key), F.col("_source").alias(source), (1 / (1 + F.exp(-one))).alias("score"))
 
 
 def cut_rates(scored: DataFrame, source: str) -> DataFrame:
