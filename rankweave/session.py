@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to all executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rankweave_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="rankweave-")) / "rankweave.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"rankweave/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._rankweave_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
