@@ -32,13 +32,12 @@ def _squeezed(text: Column) -> Column:
 
 
 def _decoded(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+    return F.when(text.rlike("[%+]"), F.coalesce(F.try_url_decode(text), text)).otherwise(text)
 
 
 def canonical_url(url: Column) -> Column:
     """The page a url names, whatever its scheme, ``www.``, fragment, tracking, case, spacing, punctuation and parameter order."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*\s*:\s*)?[^\p{L}\p{N}]*", "")
-    bare = F.regexp_replace(bare, r"(?i)^(?:www\.)+", "")
+    bare = F.regexp_replace(F.substring_index(url, "#", 1), r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*\s*:\s*)?[^\p{L}\p{N}]*(?i:www\.)*", "")
     path = _squeezed(_decoded(F.split_part(bare, F.lit("?"), F.lit(1))))
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     pairs = F.transform(
@@ -47,7 +46,7 @@ def canonical_url(url: Column) -> Column:
     )
     raw_name = lambda kv: F.replace(F.split_part(kv, F.lit("="), F.lit(1)), F.lit(" "), F.lit("_"))
     pairs = F.filter(pairs, lambda kv: (kv != "=") & ~raw_name(kv).isin(*TRACKING) & ~raw_name(kv).startswith("utm_"))
-    return F.concat_ws("?", path, F.array_join(F.array_sort(pairs), "&"))
+    return F.when(query == "", F.concat(path, F.lit("?"))).otherwise(F.concat(path, F.lit("?"), F.array_join(F.array_sort(pairs), "&")))
 
 
 def canonical_run(run_id: Column) -> Column:

@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.lines import STOP, WORD, furniture_score, is_prose, title_like
-from rankweave.llm.residue import masked
 from rankweave.session import written
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
@@ -145,22 +144,33 @@ def fit(rows: list[tuple[list[int], int]], rounds: int = 300, rate: float = 0.5,
     return w
 
 
+_BLANK = " \t\r\n\u00a0\u3000�"
+
+
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, MARK, ""), "[\\s�]+$", "")
+    """A text without the mark of a cut and closing blanks; the mark is looked for in the last characters only."""
+    marked = F.substring(text, -40, 40).rlike(MARK)
+    return F.rtrim(F.when(marked, F.concat(F.substring(text, F.lit(1), F.length(text) - 40), F.regexp_replace(F.substring(text, -40, 40), MARK, ""))).otherwise(text), F.lit(_BLANK))
+
+
+def _line_hash(line: Column) -> Column:
+    """Hash of a line without regard to case, digits and blanks."""
+    return F.xxhash64(F.translate(F.lower(line), "0123456789 \t\r", ""))
 
 
 def facts_of(rows: DataFrame, key: str, text: str, page: Column, stated: str) -> DataFrame:
     """Of each non-blank row: ``inner`` and ``pages`` (its last line is complete elsewhere, or ends several pages), ``longer`` (a sibling goes on), ``right`` (the stated length is right)."""
     base = rows.select(F.col(key).alias("_key"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), F.xxhash64(page).alias("_page"), page.isNotNull().alias("_has_page")).filter(F.col("_text").rlike(r"\S"))
-    split = F.split(F.regexp_replace("_text", r"\s+$", ""), "\n")
+    split = F.split(F.rtrim(F.col("_text"), F.lit(_BLANK)), "\n")
     n = F.size(split)
-    lines = base.select("_page", F.explode(F.array_distinct(F.transform(split, lambda x, i: F.struct(F.xxhash64(masked(x)).alias("line"), (i < n - 1).alias("inner"))))).alias("_l"))
+    lines = base.select("_page", F.explode(F.array_distinct(F.transform(split, lambda x, i: F.struct(_line_hash(x).alias("line"), (i < n - 1).alias("inner"))))).alias("_l"))
     seen = lines.groupBy("_l.line").agg(F.max(F.col("_l.inner")).alias("inner"), (F.min("_page") != F.max("_page")).alias("pages"))
     seen = seen.filter(F.col("inner") | F.col("pages"))
     right = (F.col("_stated") == F.length("_text")) | (F.col("_stated") == F.octet_length("_text"))
     slim = base.withColumn("_bare", _bare(F.col("_text"))).select(
-        "_key", "_page", "_has_page", F.xxhash64(masked(F.element_at(split, -1))).alias("_line"), F.length("_bare").alias("_len"), F.xxhash64("_bare").alias("_hash"), (F.coalesce(right, F.lit(False)) & (F.length("_text") <= TRAIN_CHARS)).alias("right"), F.xxhash64("_text").alias("_order")
+        "_key", "_page", "_has_page", _line_hash(F.element_at(split, -1)).alias("_line"), F.length("_bare").alias("_len"), F.xxhash64("_bare").alias("_hash"), (F.coalesce(right, F.lit(False)) & (F.length("_text") <= TRAIN_CHARS)).alias("right"), F.xxhash64("_text").alias("_order")
     )
+    slim = written(slim, "cut-ends")
     longest = base.filter("_has_page").groupBy("_page").agg(F.max_by("_text", F.length("_text")).alias("_longest"))
     # one row per distinct (page, text) is compared with the page's longest capture
     ends = slim.filter("_has_page").select("_page", "_len", "_hash").distinct().join(longest, "_page")
