@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from rankweave.llm.screen import Screen
+
 # Labels of site menus.
 MENU = """
 home|start|blog|news|newsroom|shop|store|forum|forums|community|contact|contact us|about|about us|careers|jobs|press|partners|company|pricing|plans|prices
@@ -47,6 +49,7 @@ PHRASES = (
     (1.5, r"\b(?:leave a reply|print|report|drucken|imprimir|imprimer)$"),
 )
 _PHRASES = tuple((w, re.compile(p, re.I)) for w, p in PHRASES)
+_SCREEN = Screen([p for _, p in _PHRASES])
 # Headers of lists of other pages.
 RELATED = re.compile(
     r"^(?:you (?:may|might) also like|related(?: (?:articles|posts|reading|guides|pages))?|popular(?: (?:this week|now|articles|posts))?|read next|up next|more from\b.{0,40}|more (?:articles|stories)|most read|recommended(?: for you)?|trending(?: now)?|others also read|see also"
@@ -75,20 +78,27 @@ def menu_share(line: str) -> float:
     return sum(sum(map(len, WORD.findall(m.group()))) for m in _COVER.finditer(line)) / letters
 
 
+_STOPPED = re.compile(r"[.!?…](?:[\"”’)]|\s|$)")
+
+
+@lru_cache(1 << 16)
 def is_prose(line: str) -> bool:
     """A line with at least one full sentence of function words."""
-    words = WORD.findall(line)
-    return len(words) >= 5 and bool(re.search(r"[.!?…](?:[\"”’)]|\s|$)", line)) and sum(w.lower() in STOP for w in words) >= max(2, len(words) // 8)
+    if not _STOPPED.search(line):
+        return False
+    words = WORD.findall(line.lower())
+    return len(words) >= 5 and sum(w in STOP for w in words) >= max(2, len(words) // 8)
 
 
 @lru_cache(1 << 16)
 def furniture_score(line: str) -> float:
     """Log-odds that a stripped, non-empty line taken alone is furniture."""
-    s = -1.0
+    s, prose = -1.0, None
     if len(line) > 180 and is_prose(line):
         return -4.0
     low = line.lower()
-    hits = sorted((w for w, p in _PHRASES if p.search(line)), reverse=True)
+    may = _SCREEN.mask(low)
+    hits = sorted((w for i, (w, p) in enumerate(_PHRASES) if may >> i & 1 and p.search(line)), reverse=True) if may else []
     if CRUMB.match(line):
         hits.insert(0, 4.0)
     if RELATED.match(line):
@@ -99,14 +109,13 @@ def furniture_score(line: str) -> float:
         hits.append(5.0)
     elif low.rstrip(":") in LABELS:
         s = 0.9
-    elif len(line) <= 160 and menu_share(line) >= 0.75:
+    elif len(line) <= 160 and not (prose := is_prose(line)) and menu_share(line) >= 0.75:
         hits.append(4.0)
     if hits:
         s = hits[0] + sum(hits[1:]) / 2
-    words = WORD.findall(line)
-    if is_prose(line):
+    if is_prose(line) if prose is None else prose:
         s = -4.0 if not hits or hits[0] < 3 else s - (1.5 if len(line) > 120 else 0.0)
-    elif len(words) > 30:
+    elif len(line) > 120 and len(WORD.findall(line)) > 30:
         s -= 2.0
     return max(-5.0, min(6.0, s))
 

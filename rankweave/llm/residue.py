@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.lines import WORD, is_latin, is_prose, title_like
 from rankweave.llm.mincut import furniture_lines
+from rankweave.llm.screen import Screen
 
 RECURRENT = 3  # rows of a host from which a line is boilerplate
 PROSE_LEFT = 120  # characters of other prose that a message may have beside it
@@ -44,7 +45,7 @@ FILLER = re.compile(
 MESSAGE = re.compile(
     r"\b(?:enable|allow|activate|activating|turn(?:ing)? on|switch on|requires?|needs?|without|support)\b.{0,30}\b(?:java ?script|scripts|scripting)\b|\b(?:java ?script|scripts|scripting)\b.{0,40}\b(?:disabled|enabled|required|needed|switched off|turned off|blocked|is off|not supported|must be on|on and reload)\b"
     r"|(?:doesn't|does not|cannot|can't) run scripts|blocking scripts|java ?script needed|with scripting|allow scripts|built in the browser|this page is rendered|\b(?:aktivieren|einschalten|erlauben|zulassen)\b.{0,30}java ?script|java ?script.{0,30}\b(?:aktivieren|einschalten|erforderlich|benötigt|deaktiviert)|\b(?:active|habilite|permita|activar|habilitar)\b.{0,30}java ?script|java ?script.{0,30}\b(?:desactivado|necesario|requiere|activado)|\b(?:activer|activez|autoriser|autorisez)\b.{0,30}java ?script|java ?script.{0,30}\b(?:désactivé|nécessaire|requis)"
-    r"|\bHTTP \d{3}\b|^\s*(?:error )?[45]\d\d\b(?! [a-zé]+ (?:best|tips|ways))|\bpage not found\b|^not found\b|\bpage unavailable\b|\baccess (?:denied|to this page)|\bforbidden\b|\bbad gateway\b|\bgateway time-?out\b|\bservice (?:temporarily )?unavailable\b|\binternal (?:server )?(?:error|fault)\b|\bfatal error\b|\btraceback\b|\bstack trace\b|\buncaught \w*error\b|\bexception in\b|\bwarning: \w+\(\)|establishing a database|database (?:connection )?error"
+    r"|\bHTTP \d{3}\b|\bpage not found\b|^not found\b|\bpage unavailable\b|\baccess (?:denied|to this page)|\bforbidden\b|\bbad gateway\b|\bgateway time-?out\b|\bservice (?:temporarily )?unavailable\b|\binternal (?:server )?(?:error|fault)\b|\bfatal error\b|\btraceback\b|\bstack trace\b|\buncaught \w*error\b|\bexception in\b|\bwarning: \w+\(\)|establishing a database|database (?:connection )?error"
     r"|\b(?:something|that) went wrong\b|\ban error (?:has )?occurred\b|\bchecking your browser\b|\bverify (?:that )?you are (?:a )?human|\byou are human\b|\bunusual traffic\b|\btoo many requests\b|\brate limit\b|\bcaptcha\b|\bfirewall\b|\bsecurity (?:rule|check)\b|\bare you a robot|\bnot a robot\b|\bdown for maintenance\b|\bbeing repaired\b|\bunder maintenance\b|\bplease come back later\b|\btry again (?:later|in \d+)|\btimed? ?out\b|\bno longer (?:here|available)\b"
     r"|\bcan't seem to find|\bcould(?:n't| not) (?:be (?:loaded|found|reached)|find|load)|\bgave no answer\b|\binvalid answer\b|\bupstream\b|\berror code\b|\bincident [0-9a-f]|\brequest id\b|\breference [0-9a-f]{5,}|\bsession (?:has )?expired\b|\bdon't have permission|\bmay be mistyped\b|\bdoes not exist\b|\bno such (?:page|file)\b|\bconnection (?:refused|reset|was reset|closed)|\bssl\b.{0,30}\b(?:error|certificate)|\bcertificate\b.{0,30}\b(?:error|expired|invalid)|\bgo to the start page\b|^gone\b"
     r"|\b(?:eingeschaltete[nr]?|aktivierte[nr]?)\b.{0,20}skript|\bskripte?n?\b.{0,30}(?:aktiv|einschalt|erlaub|zulass)|\bsans (?:les )?scripts?\b|\bscripts? (?:du navigateur|del navegador|activados?|activés?)|\b(?:sin|con) (?:los )?scripts?\b|\bscripts are\b|account has been suspended|hosting provider|bandwidth limit|domain (?:is|may be) for sale|^index of /|default web (?:page|site)|internal fault|fault stopped|^whoops|^oops|\bhit a snag|that didn't work|slow down and retry|no page at this address"
@@ -65,32 +66,33 @@ def placeholders(text: str) -> bool:
 
 
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
-# Literals of which a line with evidence has at least one (in lower case): they only save the patterns' time.
-_SEEDS = (
-    "script", "suspended", "hosting", "bandwidth", "for sale", "index of", "default web", "skript", "fault", "oops", "snag", "didn't work", "slow down", "no page", "error", "erreur", "fehler", "http", "40", "41", "42", "50", "51", "52", "found", "denied", "denegad", "refus", "verweiger", "forbidden", "unavailable", "gateway", "traceback", "stack trace", "uncaught", "exception", "warning",
-    "wrong", "browser", "human", "robot", "traffic", "requests", "rate limit", "captcha", "firewall", "security", "maint", "repair", "wartung", "later", "try again", "timed out", "timeout", "time out", "time-out", "no longer", "can't seem", "could", "no answer",
-    "invalid answer", "upstream", "incident", "request id", "reference", "expired", "permission", "mistyped", "does not exist", "no such", "connection", "ssl", "certificate", "start page", "gone", "access to this", "gefunden", "zugriff", "verfügbar", "erreichbar",
-    "versuchen sie", "encontrad", "acceso", "inténtelo", "disponib", "introuvable", "trouvée", "accès", "réessayez", "autorisation", "permiso", "berechtigung", "en mantenimiento", "built in the browser", "page is rendered",
-    "here", "placeholder", "replace it", "edit this", "write your", "insert ", "type your", "dummy", "sample text", "filler", "publication", "describe", "put your", "add your", "hier steht", "blindtext", "platzhalter", "mustertext", "texto de", "escriba", "texte ", "écrivez", "ici", "tbd", "coming soon",
-)
-_REPEATED = re.compile(r"\b(\w{3,12}) \1 \1 \1\b")
+_STATUS = re.compile(r"\s*(?:error )?[45]\d\d\b(?! [a-zé]+ (?:best|tips|ways))", re.I)
 _COUNTED = re.compile(r"\b(\w+ \d+)\. ")
 MESSAGE_MARK, FILLER_MARK, PLACE_MARK = 1, 2, 4
 
 
+# Stems of which a line of dummy Latin has at least one.
+_LATIN_STEMS = ("lorem", "ipsum", "consec", "adipis", "mauris", "integ", "donec", "nulla", "sodal", "vestib", "tincid", "egest", "praes", "luct", "fusc", "quam", "dolor", "elit")
+_SCREEN = Screen([MESSAGE, FILLER], {2: _LATIN_STEMS, 3: tuple(x.lower() for x in _OPENERS), 4: tuple("0123456789")})
+
+
+def _stutters(low: str) -> bool:
+    """One word four times in a row."""
+    w = low.split()
+    return len(set(w)) + 3 <= len(w) and any(a == b == c == d and len(a) > 2 for a, b, c, d in zip(w, w[1:], w[2:], w[3:]))
+
+
 @lru_cache(1 << 17)
 def line_marks(line: str) -> int:
     """Which evidence a line has: bits of MESSAGE_MARK, FILLER_MARK, PLACE_MARK."""
     low = line.lower()
-    marks = PLACE_MARK if placeholders(line) else 0
-    if any(s in low for s in _SEEDS):
-        if MESSAGE.search(line):
-            marks |= MESSAGE_MARK
-        if FILLER.search(line):
-            marks |= FILLER_MARK
-    elif ". " in low and len(set(_COUNTED.findall(line))) * 2 <= len(_COUNTED.findall(line)) > 1 and len(line) < 200 or _REPEATED.search(line):
+    may = _SCREEN.mask(low)
+    marks = PLACE_MARK if may & 8 and placeholders(line) else 0
+    if _STATUS.match(line) or may & 1 and MESSAGE.search(line):
+        marks |= MESSAGE_MARK
+    if may & 2 and FILLER.search(line) or may & 4 and is_latin(line):
         marks |= FILLER_MARK
-    if is_latin(line):
+    elif len(line) < 200 and (may & 16 and len(counted := _COUNTED.findall(line)) > 1 and 2 * len(set(counted)) <= len(counted) or _stutters(low)):
         marks |= FILLER_MARK
     return marks
 
@@ -108,7 +110,7 @@ def message_parts(lines: list[str]) -> tuple[int, int, int]:
         for s in _SENTENCES.split(x):
             if is_latin(s) or (marks & FILLER_MARK and (line_marks(s) & FILLER_MARK or not is_prose(s))):
                 filler += len(s)
-            elif marks & MESSAGE_MARK and len(s) <= 160 and MESSAGE.search(s):
+            elif marks & MESSAGE_MARK and len(s) <= 160 and (_STATUS.match(s) or MESSAGE.search(s)):
                 message, hit = message + len(s), True
             elif hit and len(s) < 90:
                 message += len(s)  # what a message goes on to say
