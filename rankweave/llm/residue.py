@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from rankweave.llm.lines import WORD, is_latin, is_prose, title_like
 from rankweave.llm.mincut import furniture_lines
 from rankweave.llm.screen import Screen
+from rankweave.session import written
 
 RECURRENT = 3  # rows of a host from which a line is boilerplate
 PROSE_LEFT = 120  # characters of other prose that a message may have beside it
@@ -140,8 +141,8 @@ def judge(lines: list[str], recurrent: list[bool]) -> tuple[bool, bool]:
 
 
 def masked(line: Column) -> Column:
-    """A line without regard to case, digits and spacing."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\p{N}+", "0"), r"\s+", " ")
+    """A line without regard to case, digits and blanks."""
+    return F.translate(F.lower(line), "0123456789 \t\r", "")
 
 
 def line_counts(rows: DataFrame, host: str, text: str) -> DataFrame:
@@ -156,6 +157,7 @@ def residue_pages(rows: DataFrame, key: str, host: str, text: str) -> DataFrame:
     some = rows.select(F.col(key).alias("_key"), F.coalesce(F.xxhash64(F.col(host)), F.lit(0)).alias("_host"), F.col(text).alias("_text"))
     suspects = _suspects(some)
     parts = suspects.select("_key", "_host", F.posexplode(F.split("_text", "\n")).alias("_no", "_raw")).withColumn("_line", F.xxhash64(masked(F.col("_raw"))))
+    parts = written(parts, "residue-lines")  # read twice: for the lines to count, and for the pages
     keys = parts.select("_host", "_line").distinct()
     counts = line_counts(rows, host, text).filter(F.col("n_rows") >= RECURRENT).join(keys, ["_host", "_line"], "left_semi")
     lines = parts.join(counts, ["_host", "_line"], "left").withColumn("_often", F.coalesce(F.col("n_rows"), F.lit(1)) >= RECURRENT)
