@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HOST = r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?[\\/]*(?:[^/?#@\s]*@)?([^/?#\\:\s>]+)"
+_HOST = r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*\s*:\s*[\\/]+)?(?:[^/?#@\s]*@)?([^/?#\\:\s>]+)"
 
 
 def site_of(url: Column) -> Column:

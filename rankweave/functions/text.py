@@ -56,7 +56,7 @@ def entities(x: Column | str) -> Column:
     whole = F.array(s)
     out = whole
     for sep, cut in reversed(((" & ", " & "), (" and ", " and "), (" / ", " / "), (" | ", r" \| "), (" + ", r" \+ "), (", ", ","))):
-        parts = F.filter(F.transform(F.split(s, cut), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(s, cut), lambda p: F.trim(p)), lambda p: p != "")
         out = F.when(F.contains(s, F.lit(sep)), F.when(F.size(parts) >= 2, parts).otherwise(whole)).otherwise(out)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(out)
 
@@ -75,7 +75,7 @@ def searched_for(x: Column | str) -> Column:
 
 
 def query_key(x: Column | str) -> Column:
-    """STR10: quotes and surrounding space cut, lower case."""
+    """STR10: quotes, then surrounding space cut, in this order; lower case."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), '^"+|"+$', "")))
 
 

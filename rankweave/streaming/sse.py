@@ -33,30 +33,40 @@ STATE = "queries array<string>, n_refs int, classification string, text string"
 OUT = "conversation string, queries array<string>, n_refs int, classification string, text string"
 
 
-def assembled_stream(lines: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def assembled_stream(lines: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """STM1 as a stream of (conversation, ord, line): the state of each conversation after each batch.
 
-    State is one row per open conversation; it is dropped ``timeout_ms`` after its last chunk.
+    State is one row per open conversation. It is dropped with the end mark, and with ``timeout_ms``
+    also when no chunk came for so long (a query with a timeout runs on without data, so it does not
+    end by itself).
     """
-    parsed = lines.select("conversation", "ord", chunk(F.col("line")).alias("d")).filter("d IS NOT NULL").select("conversation", "ord", "d.queries", "d.refs", "d.classification", "d.text")
+    done = F.trim(F.substring(F.trim("line"), 6, 100)) == "[DONE]"
+    parsed = lines.select("conversation", "ord", chunk(F.col("line")).alias("d"), (F.trim("line").startswith("data:") & done).alias("done")).filter("d IS NOT NULL OR done")
+    parsed = parsed.select("conversation", "ord", "done", "d.queries", "d.refs", "d.classification", "d.text")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         queries, n, kind, text = state.get if state.exists else ([], 0, None, "")
-        queries = list(queries)
+        queries, ended = list(queries), False
         for b in batches:
             for r in b.sort_values("ord").itertuples(index=False):
                 queries += [q for q in (r.queries if r.queries is not None else []) if q not in queries]
                 n += len(r.refs) if r.refs is not None else 0
                 kind = kind if kind is not None else r.classification
                 text += r.text or ""
-        state.update((queries, n, kind, text))
-        state.setTimeoutDuration(timeout_ms)
+                ended |= bool(r.done)
+        if not ended:
+            state.update((queries, n, kind, text))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"conversation": [key[0]], "queries": [queries], "n_refs": [n], "classification": [kind], "text": [text]})
 
-    return parsed.groupBy("conversation").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return parsed.groupBy("conversation").applyInPandasWithState(step, OUT, STATE, "update", timeout)
 
 
 def paced(requests: DataFrame, domain: str, at: str, order: str, spacing_ms: int) -> DataFrame:
