@@ -135,6 +135,8 @@ def normalise_timestamps(rows: DataFrame, fields: list[str], zone: str, keys: li
     ``zone`` is the column with the zone of a row (NULL or unknown: UTC).
     """
     at = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
-    long = rows.select(*keys, valid_zone(F.col(zone)).alias("zone"), at.alias("_at")).select(*keys, "zone", "_at.field", "_at.raw")
+    inner = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    long = rows.select(*inner, valid_zone(F.col(zone)).alias("zone"), at.alias("_at")).select("*", "_at.field", "_at.raw").drop("_at")
     long = long.filter(F.col("raw").rlike(r"\d"))  # no digit, no date
-    return long.join(value_dictionary(long, path), ["raw", "zone"]).filter(F.col("utc_ms").isNotNull()).select(*keys, "field", "raw", "utc_ms")
+    done = long.join(value_dictionary(long, path), ["raw", "zone"]).filter(F.col("utc_ms").isNotNull())
+    return done.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "field", "raw", "utc_ms")
