@@ -37,7 +37,7 @@ def _decoded(text: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """The page a url names, whatever its scheme, ``www.``, fragment, tracking, case, spacing, punctuation and parameter order."""
-    bare = F.regexp_replace(F.substring_index(url, "#", 1), r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*\s*:\s*)?[^\p{L}\p{N}]*(?i:www\.)*", "")
+    bare = F.regexp_replace(F.substring_index(url, "#", 1), r"^[^\p{L}\p{N}]*(?:[A-Za-z][A-Za-z0-9+.-]*\s*:\s*[\\/]+)?[^\p{L}\p{N}]*(?i:www\.)*", "")
     path = _squeezed(_decoded(F.split_part(bare, F.lit("?"), F.lit(1))))
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     pairs = F.transform(

@@ -12,7 +12,8 @@ length, and no sibling goes on. They are chosen by hash, so the choice is stable
 the regression bears.
 
 Defined results: NULL and blank texts are no case; a differing stated length alone is none; rows
-without url have no siblings; repeated rows are each scored; with no intact record to learn from,
+without url have no siblings; repeated rows are each scored; rows with
+a NULL key are left out; with no intact record to learn from,
 nothing is found.
 """
 
@@ -178,7 +179,9 @@ def facts_of(rows: DataFrame, key: str, text: str, page: Column, stated: str) ->
     ends = ends.filter(goes_on).select("_page", "_len", "_hash", F.lit(True).alias("_longer"))
     facts = slim.join(seen, slim["_line"] == seen["line"], "left").join(ends, ["_page", "_len", "_hash"], "left")
     no = F.lit(False)
-    return facts.select("_key", F.coalesce("inner", no).alias("inner"), F.coalesce("pages", no).alias("pages"), F.coalesce("_longer", no).alias("longer"), "right", "_order")
+    facts = facts.select("_key", F.coalesce("inner", no).alias("inner"), F.coalesce("pages", no).alias("pages"), F.coalesce("_longer", no).alias("longer"), "right", "_order")
+    yes = lambda c: F.max(c).alias(c)
+    return facts.groupBy("_key", "_order").agg(yes("inner"), yes("pages"), yes("longer"), yes("right"))  # a repeated row has one set of facts
 
 
 def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str, source: str) -> DataFrame:
@@ -188,9 +191,9 @@ def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str,
     outcome of the two corpus features, and the join with those features takes only numbers.
     """
     facts = written(facts_of(rows, key, text, page, stated), "cut-facts")
-    base = rows.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text")).filter(F.col("_text").rlike(r"\S"))
+    base = rows.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_order")).filter(F.col("_text").rlike(r"\S"))
     keys = facts.filter("right AND NOT longer").orderBy("_order", "_key").limit(TRAIN_ROWS).select("_key", "inner", "pages", "_order")
-    sample = base.select("_key", "_text", "_stated").join(F.broadcast(keys), "_key").orderBy("_order", "_key").collect()  # TRAIN_ROWS at most
+    sample = base.select("_key", "_text", "_stated", "_order").join(F.broadcast(keys), ["_key", "_order"]).orderBy("_order", "_key").collect()  # TRAIN_ROWS at most
     intact = [(r["_text"], r["_stated"], r["inner"] or r["pages"] and closing(r["_text"], None)[-1]) for r in sample]
     weights = fit(artificial(intact))
     types = {f.name: f.dataType.simpleString() for f in base.schema}
@@ -205,9 +208,9 @@ def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str,
                 for o, (name, longer) in zip(out, ((state, False), (state, True), ("known", False), ("known", True))):
                     o.append(z + sum(w[i] for i in _context(kind, name, round_, rel, longer)))
                 furniture.append(fur)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.float64()) for o in out], pa.array(furniture, pa.bool_())], names=["_key", "_source", "z00", "z01", "z10", "z11", "_furniture"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), *[pa.array(o, pa.float64()) for o in out], pa.array(furniture, pa.bool_())], names=["_key", "_source", "_order", "z00", "z01", "z10", "z11", "_furniture"])
 
-    z = base.mapInArrow(run, f"_key {types['_key']}, _source {types['_source']}, z00 double, z01 double, z10 double, z11 double, _furniture boolean").join(facts, "_key")
+    z = base.mapInArrow(run, f"_key {types['_key']}, _source {types['_source']}, _order bigint, z00 double, z01 double, z10 double, z11 double, _furniture boolean").join(facts, ["_key", "_order"])
     known = F.col("inner") | (F.col("pages") & F.col("_furniture"))
     one = F.when(known, F.when(F.col("longer"), F.col("z11")).otherwise(F.col("z10"))).otherwise(F.when(F.col("longer"), F.col("z01")).otherwise(F.col("z00")))
     return z.select(F.col("_key").alias(key), F.col("_source").alias(source), (1 / (1 + F.exp(-one))).alias("score"))

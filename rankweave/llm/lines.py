@@ -75,7 +75,9 @@ def menu_share(line: str) -> float:
     letters = sum(map(len, WORD.findall(line)))
     if not letters or len(line) > 200:
         return 0.0
-    return sum(sum(map(len, WORD.findall(m.group()))) for m in _COVER.finditer(line)) / letters
+    labels = [sum(map(len, WORD.findall(m.group()))) for m in _COVER.finditer(line)]
+    share = sum(labels) / letters
+    return share if len(labels) > 2 or share > 0.97 else 0.0  # two labels in a phrase are no menu
 
 
 _STOPPED = re.compile(r"[.!?…](?:[\"”’)]|\s|$)")
@@ -90,6 +92,9 @@ def is_prose(line: str) -> bool:
     return len(words) >= 5 and sum(w in STOP for w in words) >= max(2, len(words) // 8)
 
 
+_ITEM = re.compile(r"(?:[-*•#]\s*\S|\d{1,3}[.):]\s|#\d)|[^:|]{2,40}: \S|.*\t|[^|]+ \| [^|]+ \| |[^,]+, [\d.,]+, |.+ - [\d.,]+ - ")  # of a list or a table
+
+
 @lru_cache(1 << 16)
 def furniture_score(line: str) -> float:
     """Log-odds that a stripped, non-empty line taken alone is furniture."""
@@ -99,6 +104,8 @@ def furniture_score(line: str) -> float:
     low = line.lower()
     may = _SCREEN.mask(low)
     hits = sorted((w for i, (w, p) in enumerate(_PHRASES) if may >> i & 1 and p.search(line)), reverse=True) if may else []
+    if len(hits) == 1 and may & 1 and line.endswith(".") and _PHRASES[0][1].search(line) and is_prose(line):
+        hits = []  # a notice ends with what can be pressed; this sentence tells of cookies
     if CRUMB.match(line):
         hits.insert(0, 4.0)
     if RELATED.match(line):
@@ -115,11 +122,16 @@ def furniture_score(line: str) -> float:
         s = hits[0] + sum(hits[1:]) / 2
     if is_prose(line) if prose is None else prose:
         s = -4.0 if not hits or hits[0] < 3 else s - (1.5 if len(line) > 120 else 0.0)
+    elif not hits and _ITEM.match(line):
+        s = min(s, -2.6)
+    elif s == -1.0 and title_like(line):
+        s = -3.0 if len(WORD.findall(line)) > 3 else -2.0
     elif len(line) > 120 and len(WORD.findall(line)) > 30:
         s -= 2.0
     return max(-5.0, min(6.0, s))
 
 
+MARKED = re.compile(r"(?:[-*•#]\s*\S|\d{1,3}[.):]\s)")  # an item of a list
 _ROW = re.compile(r"\t|\s[|·]\s|\s-\s.*\s-\s|^[^,]+, [\d.,]+, ")  # a row of a table
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from rankweave.llm.lines import RELATED, furniture_score, title_like
+from rankweave.llm.lines import MARKED, RELATED, furniture_score, title_like
 
 NEAR, NEXT = 1.1, 0.35  # capacity between neighbours, and between lines two apart in a block
+HEADING = -2.0  # of a menu label that stands alone in the middle of a page
 EDGE_LABEL = 0.8  # a bare menu label at the top or the bottom of a page
 
 
@@ -18,7 +19,7 @@ def line_costs(lines: list[str]) -> list[float]:
         if RELATED.match(x):
             related = True
         elif related:
-            if title_like(x) and score[i] < 1:
+            if title_like(x) and score[i] < 1 and not MARKED.match(x):
                 score[i] = 2.2
             elif score[i] < 1:
                 related = False
@@ -29,7 +30,11 @@ def line_costs(lines: list[str]) -> list[float]:
         while j < n and (menu[j] or score[j] >= 3):
             j += 1
         labels = sum(menu[i:j])
-        if labels:
+        if labels == 1 and i > 0 and j < n:  # a bare label in the middle of a page is a heading
+            for k in range(i, j):
+                if menu[k]:
+                    score[k] = HEADING
+        elif labels:
             lift = (1.2 if labels >= 3 else 0.4 if labels == 2 else 0.0) + (EDGE_LABEL if i == 0 or j == n else 0.0)
             for k in range(i, j):
                 if menu[k]:

@@ -60,6 +60,7 @@ def leaf_budgets(sized: DataFrame, targets: DataFrame, total: float | None = Non
 def selection(sized: DataFrame, budgets: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """``key``, ``source``, ``lang``, ``n_tokens`` and ``uses`` (times it is used) of each row taken."""
     leaf = ["source", "lang"]
+    sized = sized.select(key, *leaf, "n_tokens")
     b = budgets.withColumn("_full", F.least(F.floor(F.col("budget") / F.col("available") + 1e-9), F.col("max_repeats")).cast("int"))
     b = b.withColumn("_left", F.greatest(F.col("budget") - F.col("_full") * F.col("available"), F.lit(0.0)))
     rows = sized.filter("n_tokens > 0").withColumn("lang", F.coalesce("lang", F.lit(""))).join(b.select(*leaf, "_full", "_left"), leaf)

@@ -6,7 +6,7 @@ unfilled placeholder, or is mostly an error, a demand for scripts or filler. Tit
 content. A text that only quotes such things has prose besides, or quotes them as code.
 
 Defined results: NULL and blank texts are no case, whatever the hint columns say; rows without host
-form one host; repeated rows are each judged; the hints ``contentError`` and ``js_render_suspected``
+form one host; a key is reported once, however often its row is repeated; the hints ``contentError`` and ``js_render_suspected``
 are reported, never decisive.
 """
 
@@ -32,7 +32,7 @@ PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\{#[^#{}\n]{1,60}#?\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{0,60}%>|%%[^%\s]{2,40}%%|@@[^@\s]{2,40}@@|__[A-Za-z][A-Za-z0-9_.-]{1,40}__|<<[^<>\n]{2,40}>>"
     r"|\[\[[^\[\]\n]{2,40}\]\]|%\([a-z_.-]+\)[sd]|(?<![\w$])\$[A-Z][A-Z_.-]{2,40}\$|(?<![\w%])%[A-Za-z][A-Za-z]*[_.-][A-Za-z_.-]{1,40}%|(?<![\w%])%[A-Z]{3,30}%|(?<![\w{])\{[A-Za-z]+(?:[_.-][A-Za-z]+)*\}(?!\})"
     r"|<(?!/?(?:p|b|i|u|a|br|hr|em|li|ul|ol|div|span|strong|code|pre|table|tr|td|th|h\d|img)\b)[A-Za-z]+(?:[_.-][A-Za-z]+)*>|&lt;[A-Za-z][^&\n]{1,40}&gt;|<(?:your|insert|add|enter)\b[^<>\n]{1,40}>|\[object Object\]"
-    r"|\[(?:insert|your|add|enter|replace|put|please|name of|company|product|city|date|author|price|image|photo|hier|aquí|insérer|ici)\b[^\[\]\n]{0,40}\](?!\()|\[[^\[\]\n]{2,40} (?:missing|here|goes here|tbd|fehlt|falta|manquant)\](?!\()|\[[A-Z]{2,}(?:[ _-][A-Z]+)+\](?!\()"
+    r"|(?i:\[(?:insert|your|add|enter|replace|put|please|name of|company|product|city|date|author|price|image|photo|hier|aquí|insérer|ici)\b[^\[\]\n]{0,40}\](?!\()|\[[^\[\]\n]{2,40} (?:missing|here|goes here|tbd|fehlt|falta|manquant)\](?!\())|\[[A-Z]{2,}(?:[ _-][A-Z]+)+\](?!\()"
     r"|(?<!\w)(?:TODO|FIXME|TBD|XXX)(?!\w)[:.]|\bTODO\b(?=: )",
 )
 _QUOTED = re.compile(r"`[^`\n]*`|(?<!\w)[\"“„«'‘]\s?[{\[<$%@#_][^\"”“»'’\n]{0,60}[}\]>$%@_]\s?[\"”“»'’]")
@@ -161,7 +161,7 @@ def residue_pages(rows: DataFrame, key: str, host: str, text: str) -> DataFrame:
     keys = parts.select("_host", "_line").distinct()
     counts = line_counts(rows, host, text).filter(F.col("n_rows") >= RECURRENT).join(keys, ["_host", "_line"], "left_semi")
     lines = parts.join(counts, ["_host", "_line"], "left").withColumn("_often", F.coalesce(F.col("n_rows"), F.lit(1)) >= RECURRENT)
-    pages = lines.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_no", "_raw", "_often"))).alias("_lines"))
+    pages = lines.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("_no", "_raw", "_often"))).alias("_lines"))
     key_type = pages.schema["_key"].dataType.simpleString()
     pages = pages.select("_key", F.col("_lines._raw").alias("_raws"), F.col("_lines._often").alias("_often"))
 
