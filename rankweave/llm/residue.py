@@ -38,7 +38,7 @@ PLACEHOLDER = re.compile(
 _QUOTED = re.compile(r"`[^`\n]*`|(?<!\w)[\"“„«'‘]\s?[{\[<$%@#_][^\"”“»'’\n]{0,60}[}\]>$%@_]\s?[\"”“»'’]")
 _BROKEN = re.compile(r"^(?:null|undefined|NaN|None):(?=\s|$)|\bxxx [a-z ]{2,40} xxx\b", re.M)
 FILLER = re.compile(
-    r"\b(?:goes here|placeholder (?:text|copy)|replace it with your|your own (?:text|copy) (?:here|before)|click here to edit|edit this (?:text|paragraph|section)|write your [\w ]{2,30} in this|insert [\w ]{2,30} here\b|type your (?:text|copy)|dummy text|sample text|filler text|your text here|not for publication"
+    r"\b(?:goes here|placeholder (?:text|copy)|replace it with your|your own (?:text|copy) (?:here|before)|click here to edit|edit this (?:text|paragraph|section)|write your [\w ]{2,30} in this|insert [\w ]{2,30} here\b|type your (?:text|copy)|to be replaced\b|(?:sample|example) page\b|edit me\b|in this box\b|your [\w ]{3,30} here\b|(?:image|photo) caption\b|button text\b|dummy (?:text|entry)|please ignore\b|\basdf\b|sample text|filler text|your text here|not for publication"
     r"|describe (?:your|the) \w+ (?:here|in this)|put your [\w ]{2,30} (?:here|in this)|add your [\w ]{2,30} (?:here|in this)|hier steht (?:ihr|dein|später)|blindtext|platzhalter(?:text)?|mustertext|texto de (?:relleno|ejemplo|muestra)|escriba aquí|texte (?:factice|d'exemple|provisoire)|écrivez ici|votre texte ici|su texto aquí|ihr text hier)"
     r"|(?:^|[\s:])tbd(?:\.|\s|$)|\bcoming soon: ",
     re.I,
@@ -49,7 +49,7 @@ MESSAGE = re.compile(
     r"|\bHTTP \d{3}\b|\bpage not found\b|^not found\b|\bpage unavailable\b|\baccess (?:denied|to this page)|\bforbidden\b|\bbad gateway\b|\bgateway time-?out\b|\bservice (?:temporarily )?unavailable\b|\binternal (?:server )?(?:error|fault)\b|\bfatal error\b|\btraceback\b|\bstack trace\b|\buncaught \w*error\b|\bexception in\b|\bwarning: \w+\(\)|establishing a database|database (?:connection )?error"
     r"|\b(?:something|that) went wrong\b|\ban error (?:has )?occurred\b|\bchecking your browser\b|\bverify (?:that )?you are (?:a )?human|\byou are human\b|\bunusual traffic\b|\btoo many requests\b|\brate limit\b|\bcaptcha\b|\bfirewall\b|\bsecurity (?:rule|check)\b|\bare you a robot|\bnot a robot\b|\bdown for maintenance\b|\bbeing repaired\b|\bunder maintenance\b|\bplease come back later\b|\btry again (?:later|in \d+)|\btimed? ?out\b|\bno longer (?:here|available)\b"
     r"|\bcan't seem to find|\bcould(?:n't| not) (?:be (?:loaded|found|reached)|find|load)|\bgave no answer\b|\binvalid answer\b|\bupstream\b|\berror code\b|\bincident [0-9a-f]|\brequest id\b|\breference [0-9a-f]{5,}|\bsession (?:has )?expired\b|\bdon't have permission|\bmay be mistyped\b|\bdoes not exist\b|\bno such (?:page|file)\b|\bconnection (?:refused|reset|was reset|closed)|\bssl\b.{0,30}\b(?:error|certificate)|\bcertificate\b.{0,30}\b(?:error|expired|invalid)|\bgo to the start page\b|^gone\b"
-    r"|\b(?:eingeschaltete[nr]?|aktivierte[nr]?)\b.{0,20}skript|\bskripte?n?\b.{0,30}(?:aktiv|einschalt|erlaub|zulass)|\bsans (?:les )?scripts?\b|\bscripts? (?:du navigateur|del navegador|activados?|activés?)|\b(?:sin|con) (?:los )?scripts?\b|\bscripts are\b|account has been suspended|hosting provider|bandwidth limit|domain (?:is|may be) for sale|^index of /|default web (?:page|site)|internal fault|fault stopped|^whoops|^oops|\bhit a snag|that didn't work|slow down and retry|no page at this address"
+    r"|\b(?:eingeschaltete[nr]?|aktivierte[nr]?)\b.{0,20}skript|\bskripte?n?\b.{0,30}(?:aktiv|einschalt|erlaub|zulass)|\bsans (?:les )?scripts?\b|\bscripts? (?:du navigateur|del navegador|activados?|activés?)|\b(?:sin|con) (?:los )?scripts?\b|\bscripts are\b|not available in your (?:region|country|area)|no funciona si|desactivados los scripts|scripts están|account has been suspended|hosting provider|bandwidth limit|domain (?:is|may be) for sale|^index of /|default web (?:page|site)|internal fault|fault stopped|^whoops|^oops|\bhit a snag|that didn't work|slow down and retry|no page at this address"
     r"|seite (?:wurde )?nicht gefunden|zugriff (?:verweigert|nicht)|fehler ist aufgetreten|ein fehler\b.{0,30}aufgetreten|nicht (?:verfügbar|erreichbar)\b|wartungsarbeiten|versuchen sie es (?:später|in|erneut|noch)|página no encontrada|no se ha encontrado|no encontrada|acceso denegado|ha producido un error|inténtelo (?:de nuevo|más tarde)|en mantenimiento|servicio no disponible|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|erreur (?:est survenue|s'est produite|interne)|réessayez|en maintenance|service indisponible|n'avez pas l'autorisation|no tiene permiso|keine berechtigung",
     re.I,
 )
@@ -125,7 +125,7 @@ def no_body(lines: list[str]) -> bool:
     if not any(line_marks(x) & (MESSAGE_MARK | FILLER_MARK) for x in lines):
         return False
     message, filler, prose = message_parts(lines)
-    return (message > 0 and prose <= PROSE_LEFT and prose <= 2 * message) or (filler > 0 and prose <= filler + PROSE_LEFT // 2 and filler >= 0.4 * sum(len(x) for x in lines if not title_like(x)))
+    return (message > 0 and prose <= PROSE_LEFT and prose <= 2 * message) or (filler > 0 and prose <= filler + PROSE_LEFT // 2 and filler >= 0.3 * sum(len(x) for x in lines if not title_like(x)))
 
 
 def judge(lines: list[str], recurrent: list[bool]) -> tuple[bool, bool]:
