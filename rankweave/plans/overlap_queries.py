@@ -27,9 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys and domains of each run in rank order."""
-    s = serp(spark, sf).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", "row_id", "key", "domain"))).alias("r"))
+def _ranked(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    """Keys and domains of each run in rank order, of its first ``most`` results (then a run of any size gives a bounded list)."""
+    rows = serp(spark, sf).select("run_id", "position", "row_id", "key", "domain")
+    if most is not None:
+        rows = top_k(rows, ["run_id"], ["position", "row_id"], most)
+    s = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", "row_id", "key", "domain"))).alias("r"))
     return s.select("run_id", F.col("r.key").alias("keys"), F.col("r.domain").alias("domains"))
 
 
@@ -54,7 +57,7 @@ SELECT run_id, section, bucket_k, n_sources, n_serp, n_overlap, coalesce(n_overl
 )
 def ovl_topk(spark: SparkSession, sf: str) -> DataFrame:
     """OVL6 (with OVL1, ARR2, STR11): overlap of cited sources with the top k results."""
-    return bucket_overlap(_cited_lists(spark, sf), _ranked(spark, sf), BUCKETS)
+    return bucket_overlap(_cited_lists(spark, sf), _ranked(spark, sf, max(BUCKETS)), BUCKETS)
 
 
 
