@@ -66,22 +66,30 @@ def overlap_udf(threshold: float = 0.85):
 
 
 def clusters(vectors, threshold: float = 0.85) -> list[list[int]]:
-    """CLU1: one forward pass; an item joins the open group if its largest similarity to a member reaches the threshold."""
+    """CLU1: one forward pass; an item joins the open group if its largest similarity to a member reaches the threshold.
+
+    Similarities are computed a row at a time, so a long list needs no square matrix.
+    """
     u = _unit(vectors)
-    sim, free, out = u @ u.T, np.ones(len(u), dtype=bool), []
+    free, out = np.ones(len(u), dtype=bool), []
     for i in range(len(u)):
         if not free[i]:
             continue
-        free[i], group, best = False, [i], sim[i].copy()
-        for j in range(i + 1, len(u)):
-            if free[j] and best[j] >= threshold:
-                free[j] = False
-                group.append(j)
-                best = np.maximum(best, sim[j])
+        free[i], group, at, best = False, [i], i, u @ u[i]
+        while (near := np.flatnonzero(free[at + 1 :] & (best[at + 1 :] >= threshold))).size:
+            at += 1 + int(near[0])
+            free[at] = False
+            group.append(at)
+            best = np.maximum(best, u @ u[at])
         out.append(group)
     return out
 
 
+def _central(u: np.ndarray, rows: int = 1024) -> int:
+    """The row of largest total similarity to all rows, by blocks of rows."""
+    return int(np.concatenate([(u[i : i + rows] @ u.T).sum(axis=1) for i in range(0, len(u), rows)]).argmax())
+
+
 def top_semantic(df: DataFrame, group: str, order: str, name: str, vector: str, top_n: int | None = 10, threshold: float = 0.85) -> DataFrame:
     """CLU1 per group: representatives (closest to their cluster) and counts of the largest clusters.
 
@@ -95,8 +103,7 @@ def top_semantic(df: DataFrame, group: str, order: str, name: str, vector: str,
         names, u = first["_n"].tolist(), _unit(first["_v"].tolist())
         rows = []
         for g in clusters(first["_v"].tolist(), threshold):
-            near = (u[g] @ u[g].T).sum(axis=1)
-            rows.append((names[g[int(near.argmax())]], int(sum(counts[names[i]] for i in g))))
+            rows.append((names[g[_central(u[g])]], int(sum(counts[names[i]] for i in g))))
         rows.sort(key=lambda r: -r[1])
         rows = rows[:top_n] if top_n else rows
         return pd.DataFrame({"_g": [key[0]] * len(rows), "position": range(1, len(rows) + 1), "name": [r[0] for r in rows], "n": [r[1] for r in rows]})

@@ -365,9 +365,8 @@ def clu_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def xr_cqopo(spark: SparkSession, sf: str) -> DataFrame:
-    """XR7, XR10: agreement of two labels on their largest clusters."""
-    lists = top_k(table(spark, sf, "embeddings"), ["label"], ["vec_id"], 40)  # the answer list of a label has forty places
-    top = top_semantic(lists, "label", "vec_id", "vec_id", "embedding", 5, 0.3).withColumn("vec_id", F.col("name").cast("bigint"))
+    """XR7, XR10: agreement of two labels on their largest clusters, of all vectors of a label."""
+    top = top_semantic(table(spark, sf, "embeddings"), "label", "vec_id", "vec_id", "embedding", 5, 0.3).withColumn("vec_id", F.col("name").cast("bigint"))
     v = top.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "embedding"))).alias("v")).select("label", F.col("v.embedding").cast(VECTORS).alias("v"), F.lit(0).alias("_g"))
     p = v.join(v.select(F.col("label").alias("label_j"), F.col("v").alias("w"), "_g"), "_g").filter("label < label_j")  # labels by labels
     return p.select("label", "label_j", F.round(overlap_udf(0.3)("v", "w"), 6).alias("cqopo"))
