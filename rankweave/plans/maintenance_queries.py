@@ -332,10 +332,10 @@ def sta_ranks(spark: SparkSession, sf: str) -> DataFrame:
 # vectors
 
 
-def _vector_lists(spark: SparkSession, sf: str, size: int = 5) -> DataFrame:
-    """Lists of five vectors of one label, in the order of their ids: the runs of a prompt."""
+def _vector_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of the vectors of one label, in the order of their ids: the runs of a prompt."""
     e = table(spark, sf, "embeddings").withColumn("list_id", F.floor(F.col("vec_id") / 100))
-    v = e.groupBy("label", "list_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, size).alias("v"))
+    v = e.groupBy("label", "list_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     return v.select("label", "list_id", F.col("v.embedding").cast(VECTORS).alias("vectors"))
 
 

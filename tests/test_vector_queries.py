@@ -42,3 +42,10 @@ def test_clusters_without_a_square_matrix():
                 want.append(group)
         assert S.clusters(v, 0.5) == want
         assert S._central(u, 4) == int((u @ u.T).sum(axis=1).argmax())
+
+
+def test_mipo_assigns_whole_lists(spark, folder):
+    first, second = [axis(i) for i in range(8)], [axis((i + 5) % 8) for i in range(8)]
+    rows = [(100 * k + i, v, 1) for k, l in enumerate((first, second)) for i, v in enumerate(l)]
+    got = [tuple(r) for r in Q.xr_mipo(spark, folder(rows)).collect()]
+    assert got == [(1, 1, 1.0, 0.0, 0.0)]  # the first five of each list share only two
