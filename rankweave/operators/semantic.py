@@ -120,3 +120,32 @@ def pair_overlap(lists: DataFrame, group: str, list_id: str, vectors: str, thres
     p = a.join(b, group).filter("_i < _j").withColumn("v", overlap_udf(threshold)("_a", "_b"))
     m = p.groupBy(group).agg(F.count("*").alias("n_pairs"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.stddev_pop("v").alias("std"))
     return lists.select(group).distinct().join(m, group, "left").fillna(0, ["n_pairs"])
+
+
+def cross_overlap(lists: DataFrame, group: str, list_id: str, vectors: str, threshold: float = 0.85, within: str | None = None) -> DataFrame:
+    """XR3, XR5: mean of OVL3 over all lists of one group by all lists of another, the whole matrix.
+
+    The upper triangle with the diagonal (a list meets itself there) is computed and mirrored. With
+    ``within`` only groups of the same value are compared; the other cells are 0.
+    """
+    i, j = f"{group}_i", f"{group}_j"
+    same = [within] if within else []
+    spread = 2 * lists.sparkSession.sparkContext.defaultParallelism  # the lists are small, their pairs are the work
+    a = lists.select(F.col(group).alias(i), F.col(list_id).alias("_i"), F.col(vectors).alias("_a"), *same).repartition(spread, F.xxhash64(i, "_i"))
+    b = lists.select(F.col(group).alias(j), F.col(vectors).alias("_b"), *same)
+    p = (a.join(b, within) if within else a.crossJoin(b)).filter(F.col(i) <= F.col(j)).withColumn("v", overlap_udf(threshold)("_a", "_b"))
+    m = p.groupBy(i, j).agg(F.count("*").alias("n_pairs"), F.avg("v").alias("mean"))
+    cell = F.explode(F.array_distinct(F.array(F.struct(F.col(i).alias("i"), F.col(j).alias("j")), F.struct(F.col(j).alias("i"), F.col(i).alias("j")))))
+    m = m.select(cell.alias("_c"), "n_pairs", "mean").select(F.col("_c.i").alias(i), F.col("_c.j").alias(j), "n_pairs", "mean")
+    if not within:
+        return m
+    groups = lists.select(group).distinct()
+    cells = groups.withColumnRenamed(group, i).crossJoin(groups.withColumnRenamed(group, j))
+    return cells.join(m, [i, j], "left").withColumn("mean", F.when(F.col("n_pairs").isNull(), F.lit(0.0)).otherwise(F.col("mean"))).fillna(0, ["n_pairs"])
+
+
+def system_overlap(a: DataFrame, b: DataFrame, group: str, vectors: str, threshold: float = 0.85) -> DataFrame:
+    """XR8: mean, variance and deviation of OVL3 over all lists of one system by all lists of another, of each group both have."""
+    x = a.select(group, F.col(vectors).alias("_a"))
+    p = x.join(b.select(group, F.col(vectors).alias("_b")), group)
+    return p.withColumn("v", overlap_udf(threshold)("_a", "_b")).groupBy(group).agg(F.count("*").alias("n_pairs"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.stddev_pop("v").alias("std"))

@@ -12,7 +12,7 @@ from rankweave.operators import merge as M
 from rankweave.operators.flatten import inline_citations, panel_citations
 from rankweave.operators.labels import best_text, latest_labels
 from rankweave.operators.overlap import named_matches
-from rankweave.operators.semantic import VECTORS, overlap_udf, pair_overlap, top_semantic
+from rankweave.operators.semantic import VECTORS, cross_overlap, overlap_udf, pair_overlap, system_overlap, top_semantic
 from rankweave.operators.setops import first_wins, latest_wins, top_k
 from rankweave.operators.stats import average_ranks, formatted_p, kruskal_wallis, mann_whitney_pairs
 from rankweave.operators.validate import checks, missing_reason
@@ -347,12 +347,23 @@ def xr_mipo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def xr_cqmipo(spark: SparkSession, sf: str) -> DataFrame:
-    """XR3, XR5, XR8: agreement of the lists of two labels, the upper triangle; three lists a label, by hash."""
+    """XR3: agreement of all lists of two labels, the whole matrix."""
+    return cross_overlap(_vector_lists(spark, sf), "label", "list_id", "vectors", 0.3).select("label_i", "label_j", F.round("mean", 6).alias("cqmipo"))
+
+
+@query()
+def xr_cqmipo_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """XR5: agreement of three lists of each of two labels, chosen by hash as the study samples three; the whole matrix."""
     lists = top_k(_vector_lists(spark, sf), ["label"], [F.xxhash64("label", "list_id", F.lit(2025))], 3)
-    a = lists.select(F.col("label").alias("label_i"), F.col("list_id").alias("_i"), F.col("vectors").alias("_a"), F.lit(0).alias("_g"))
-    b = lists.select(F.col("label").alias("label_j"), F.col("list_id").alias("_j"), F.col("vectors").alias("_b"), F.lit(0).alias("_g"))
-    p = a.join(b, "_g").filter("label_i <= label_j").withColumn("v", overlap_udf(0.3)("_a", "_b"))  # three lists of each label
-    return p.groupBy("label_i", "label_j").agg(F.round(F.avg("v"), 6).alias("cqmipo"))
+    return cross_overlap(lists, "label", "list_id", "vectors", 0.3).select("label_i", "label_j", F.round("mean", 6).alias("cqmipo"))
+
+
+@query()
+def xr_csmpo(spark: SparkSession, sf: str) -> DataFrame:
+    """XR8: agreement of two systems on a label; lists of even number stand for one system, of odd number for the other."""
+    lists = _vector_lists(spark, sf)
+    s = system_overlap(lists.filter("list_id % 2 = 0"), lists.filter("list_id % 2 = 1"), "label", "vectors", 0.3)
+    return s.select("label", "n_pairs", *[F.round(c, 6).alias(f"csmpo_{c}") for c in ("mean", "var", "std")])
 
 
 @query()

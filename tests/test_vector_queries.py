@@ -49,3 +49,29 @@ def test_mipo_assigns_whole_lists(spark, folder):
     rows = [(100 * k + i, v, 1) for k, l in enumerate((first, second)) for i, v in enumerate(l)]
     got = [tuple(r) for r in Q.xr_mipo(spark, folder(rows)).collect()]
     assert got == [(1, 1, 1.0, 0.0, 0.0)]  # the first five of each list share only two
+
+
+def test_cqmipo_and_csmpo_take_all_lists(spark, folder):
+    """Against loops over all lists of seven; the sample of three is XR5's."""
+    rng = np.random.default_rng(5)
+    rows = [(100 * k + i, axis(int(rng.integers(0, 8))), 1 + i % 3) for k in range(7) for i in range(12)]
+    lists: dict = {}
+    for vec_id, v, label in rows:
+        lists.setdefault(label, {}).setdefault(vec_id // 100, []).append(v)
+    sf = folder(rows)
+    score = lambda a, b: S.semantic_overlap(a, b, 0.3)
+    mean = {(i, j): np.mean([score(a, b) for a in lists[i].values() for b in lists[j].values()]) for i in lists for j in lists}
+    got = {(r["label_i"], r["label_j"]): r["cqmipo"] for r in Q.xr_cqmipo(spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in mean.items()}
+    sample = {(r["label_i"], r["label_j"]): r["cqmipo"] for r in Q.xr_cqmipo_sample(spark, sf).collect()}
+    assert set(sample) == set(mean) and all(sample[i, j] == sample[j, i] for i, j in sample)
+    for r in Q.xr_csmpo(spark, sf).collect():
+        v = [score(a, b) for g, a in lists[r["label"]].items() if g % 2 == 0 for h, b in lists[r["label"]].items() if h % 2]
+        assert (r["n_pairs"], r["csmpo_mean"], r["csmpo_var"], r["csmpo_std"]) == (12, pytest.approx(np.mean(v), abs=1e-6), pytest.approx(np.var(v), abs=1e-6), pytest.approx(np.std(v), abs=1e-6))
+
+
+def test_cells_outside_the_filter_are_zero(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    l = spark.createDataFrame([("p", 1, [x], "A"), ("p", 2, [y], "A"), ("q", 1, [x], "A"), ("r", 1, [x], "B")], f"g string, i int, v {S.VECTORS}, t string")
+    got = {(r["g_i"], r["g_j"]): (r["n_pairs"], r["mean"]) for r in S.cross_overlap(l, "g", "i", "v", within="t").collect()}
+    assert got == {("p", "p"): (4, 0.5), ("p", "q"): (2, 0.5), ("q", "p"): (2, 0.5), ("q", "q"): (1, 1.0), ("r", "r"): (1, 1.0), **{k: (0, 0.0) for k in (("p", "r"), ("r", "p"), ("q", "r"), ("r", "q"))}}
