@@ -3,8 +3,8 @@
 Method: intact values are cut artificially to make positives; a logistic regression over hashed
 features (closing characters, punctuation, length to a limit, the stated length) is trained on them
 and scores every record. Two features are gathered from the whole corpus before: whether the last
-line occurs as a complete line elsewhere, and whether the longest capture of the same page goes on
-where this one stops.
+line occurs as a complete line elsewhere, and whether any other capture of the same page goes on
+where this one stops (marks and closing blanks aside).
 
 The classifier is fitted on at most ``TRAIN_ROWS`` records taken as intact: the stated length is the
 length, and no sibling goes on. They are chosen by hash, so the choice is stable, and have at most
@@ -34,6 +34,7 @@ from rankweave.llm.lines import STOP, WORD, furniture_score, is_prose, title_lik
 from rankweave.session import written
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+PAGE_PARTS = 16  # the captures of one page are spread over as many parts, by the hash of the text
 CUT_SHARE = 0.4  # of the intact records are cut once
 BUCKETS = 2048
 MARK = r"\s*(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|(?:…|\.\.\.)?\s*\[\+\d+ (?:chars?|characters|bytes)\])\s*$"
@@ -172,11 +173,14 @@ def facts_of(rows: DataFrame, key: str, text: str, page: Column, stated: str) ->
         "_key", "_page", "_has_page", _line_hash(F.element_at(split, -1)).alias("_line"), F.length("_bare").alias("_len"), F.xxhash64("_bare").alias("_hash"), (F.coalesce(right, F.lit(False)) & (F.length("_text") <= TRAIN_CHARS)).alias("right"), F.xxhash64("_text").alias("_order")
     )
     slim = written(slim, "cut-ends")
-    longest = base.filter("_has_page").groupBy("_page").agg(F.max_by("_text", F.length("_text")).alias("_longest"))
-    # one row per distinct (page, text) is compared with the page's longest capture
-    ends = slim.filter("_has_page").select("_page", "_len", "_hash").distinct().join(longest, "_page")
-    goes_on = (F.length("_longest") > F.col("_len") + 1) & (F.xxhash64(F.substring(F.col("_longest"), F.lit(1), F.col("_len"))) == F.col("_hash"))
-    ends = ends.filter(goes_on).select("_page", "_len", "_hash", F.lit(True).alias("_longer"))
+    # every distinct capture of a page is hashed at the lengths of the page's other captures
+    lengths = slim.filter("_has_page").groupBy("_page").agg(F.collect_set("_len").alias("_lens")).filter(F.size("_lens") > 1)
+    lengths = lengths.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PAGE_PARTS - 1))))
+    captures = base.filter("_has_page").select("_page", _bare(F.col("_text")).alias("_bare")).withColumn("_hash", F.xxhash64("_bare")).withColumn("_part", F.pmod("_hash", F.lit(PAGE_PARTS)).cast("int"))
+    captures = captures.repartition("_page", "_part").groupBy("_page", "_part", "_hash").agg(F.first("_bare").alias("_bare"))
+    shorter = F.filter("_lens", lambda n: n + 1 < F.length("_bare"))
+    heads = captures.join(lengths, ["_page", "_part"]).select("_page", F.explode(F.transform(shorter, lambda n: F.struct(n.alias("len"), F.xxhash64(F.substring(F.col("_bare"), F.lit(1), n)).alias("hash")))).alias("_h"))
+    ends = heads.select("_page", F.col("_h.len").alias("_len"), F.col("_h.hash").alias("_hash")).distinct().withColumn("_longer", F.lit(True))
     facts = slim.join(seen, slim["_line"] == seen["line"], "left").join(ends, ["_page", "_len", "_hash"], "left")
     no = F.lit(False)
     facts = facts.select("_key", F.coalesce("inner", no).alias("inner"), F.coalesce("pages", no).alias("pages"), F.coalesce("_longer", no).alias("longer"), "right", "_order")
