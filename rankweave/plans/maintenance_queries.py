@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import canonical_run_id
@@ -12,6 +12,7 @@ from rankweave.operators import merge as M
 from rankweave.operators.flatten import inline_citations, panel_citations
 from rankweave.operators.labels import best_text, latest_labels
 from rankweave.operators.overlap import named_matches
+from rankweave.operators.saved_pages import html_items, result_rows, source_rows
 from rankweave.operators.semantic import VECTORS, cross_overlap, overlap_udf, pair_overlap, system_overlap, top_semantic
 from rankweave.operators.setops import first_wins, latest_wins, top_k
 from rankweave.operators.stats import average_ranks, formatted_p, kruskal_wallis, mann_whitney_pairs
@@ -283,13 +284,52 @@ def htm_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def htm_results(spark: SparkSession, sf: str) -> DataFrame:
-    """HTM14 to HTM16: result rows back from a saved result page of each query."""
+    """The links of a saved page, each url once: rows back from a page of links of each query."""
     link = F.concat(F.lit('<li><a href="'), F.replace(F.trim("url"), F.lit("&"), F.lit("&amp;")), F.lit('">'), F.coalesce("title", F.lit("")), F.lit("</a></li>"))
     s = serp(spark, sf).withColumn("_l", link)
     pages = s.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "row_id", "_l"))), lambda x: x["_l"]), "").alias("html"))
     return pages.select("run_id", F.explode(H.html_results("html")).alias("r")).select("run_id", "r.position", "r.title", domain10("r.url").alias("domain"))
 
 
+def _esc(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.coalesce(c, F.lit(""))
+
+
+def _saved(rows: DataFrame, keys: list[str], order: list[str], part: Column) -> DataFrame:
+    """The parts of each page in order, as one text."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, part.alias("_l"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_l"]), "").alias("_parts"))
+
+
+@query()
+def htm_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """HTM14: result cards back from a saved result page of each run, which has a menu and an advert besides."""
+    card = F.concat(F.lit('<li class="b_algo"><h2><a href="'), _esc(F.trim("url")), F.lit('">'), _esc(F.col("title")), F.lit('</a></h2><div class="b_caption"><p>'), _esc(F.col("query")), F.lit("</p></div></li>"))
+    pages = _saved(serp(spark, sf), ["run_id"], ["position", "row_id"], card)
+    ad = '<nav><a href="https://menu.example/">Menu</a></nav><ol><li class="b_algo"><p>Sponsored</p><h2><a href="https://ad.example/">Advert</a></h2></li><li></li><li></li><li></li>'
+    return result_rows(pages.select("run_id", F.concat(F.lit(ad), "_parts", F.lit('</ol><a class="sb_pagS">1</a>')).alias("html")), "run_id", "html").select("run_id", "position", "title", "domain", "snippet", "page_num")
+
+
+@query()
+def htm_items(spark: SparkSession, sf: str) -> DataFrame:
+    """HTM15: items, headings and links back from a saved answer of each run."""
+    item = F.concat(F.when(F.col("cite_position") == 1, F.concat(F.lit("<h2>"), F.col("section"), F.lit("</h2>"))).otherwise(F.lit("")), F.lit("<li>"), _esc(F.col("domain")), F.lit(' — source <a href="'), _esc(F.trim("url")), F.lit('">link</a></li>'))
+    pages = _saved(citations(spark, sf), ["run_id"], ["section", "cite_position"], item)
+    return pages.select("run_id", F.explode(html_items("_parts")).alias("i")).select("run_id", "i.*")
+
+
+@query()
+def htm_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """HTM16: cited and further sources back from a saved panel of each run."""
+    head = F.when(F.col("section") == "cited", "Citations").otherwise("More")
+    link = F.concat(F.lit('<li><a target="_blank" rel="noopener" href="'), _esc(F.trim("url")), F.lit('"><div class="font-semibold">'), _esc(F.col("domain")), F.lit("</div></a></li>"))
+    lists = _saved(citations(spark, sf), ["run_id", "section"], ["cite_position"], link).withColumn("_list", F.concat(F.lit('<li class="sticky">'), head, F.lit("</li><ul>"), "_parts", F.lit("</ul>")))
+    pages = _saved(lists.withColumn("_o", F.col("section") == "additional"), ["run_id"], ["_o"], F.col("_list"))
+    return source_rows(pages, "run_id", "_parts").select("run_id", "section", "position", "title", "domain")
+
+
 # statistics
 
 
