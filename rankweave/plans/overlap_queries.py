@@ -171,7 +171,7 @@ SELECT r.prompt_id, count(*) AS total_runs, count(*) FILTER (rag) AS rag_runs, r
 FROM r LEFT JOIN s USING (prompt_id) GROUP BY r.prompt_id"""
 )
 def xrc_stability(spark: SparkSession, sf: str) -> DataFrame:
-    """XRC1 to XRC4 (JON1, FLT19): stability of a prompt's citations over its runs, by rows and by runs."""
+    """XRC1 to XRC3 (JON1, FLT19): stability of a prompt's citations over its runs, by rows and by runs."""
     c = citations(spark, sf)
     n = c.groupBy("run_id").agg(F.count_distinct("key").alias("cc"))
     q = F.lower(F.trim("generated_search_query"))
