@@ -10,7 +10,7 @@ from rankweave.llm.cut import artificial, cut_rates, features, fit, score_cuts
 from rankweave.llm.mincut import furniture_lines, min_cut
 from rankweave.llm.residue import FILLER, MESSAGE, PLACEHOLDER, judge, line_marks, placeholders, residue_pages
 from rankweave.llm.screen import Screen
-from rankweave.llm.spam import page_evidence, shingles, stuffed_pages
+from rankweave.llm.spam import page_evidence, phrases, stuffed_pages
 
 PROSE = "The battery of this phone lasts for two days, and it charges in an hour. We used it at home and in the office for a week."
 
@@ -177,17 +177,55 @@ def test_honest(name):
     assert not page_evidence([x for x in HONEST[name].split("\n") if x])["spam"]
 
 
-def test_shingles():
-    a, at = shingles(["a b c d e f", "x y", "a b c d e"])
-    assert len(a) == 3 and at.tolist() == [0, 0, 2] and a[0] == a[2] != a[1]
-    assert len(shingles([])[0]) == len(shingles(["a b c d"])[0]) == 0
+def test_phrases_leave_keywords_out():
+    texts = ["buy phone, best phone! buy phone best phone", "buy bike best bike buy bike best bike", "one two three four five six seven", "a b c", "best https://x.example/a best https://y.example best #BestBike"]
+    size, page, found = phrases(texts)
+    assert size.tolist() == [4, 4, 3, 0, 3]
+    own = [set(found[page == i].tolist()) for i in range(len(texts))]
+    assert own[0] and own[0] == own[1] and not own[2] and not own[3] and own[4]
+    assert len(phrases([])[1]) == len(phrases([""])[1]) == 0
+
+
+def test_phrases_of_a_batch_are_those_of_each_text():
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("red blue the of phone bike x1 7 a.example".split()) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    size, page, found = phrases(texts)
+    for i, t in enumerate(texts):
+        n, _, alone = phrases([t])
+        assert n[0] == size[i] and alone.tolist() == found[page == i].tolist()
+
+
+def brute_phrases(words):
+    """Keyword phrases of words without function words, numbers and links."""
+    keys = {w for w in words if words.count(w) >= 2}
+    out = []
+    for i in range(len(words) - 4):
+        five = words[i : i + 5]
+        if sum(w in keys for w in five) >= 4:
+            out.append(tuple(five.index(w) if w in keys else w for w in five))
+    return out
+
+
+def test_phrases_equal_brute_force():
+    rnd = random.Random(6)
+    for _ in range(40):
+        a, b = ([rnd.choice("red blue green phone bike desk".split()) for _ in range(rnd.randint(5, 14))] for _ in "ab")
+        _, page, found = phrases([" ".join(a), " ".join(b)])
+        x, y = brute_phrases(a), brute_phrases(b)
+        got = found.tolist()
+        assert [p == q for p in x + y for q in x + y] == [p == q for p in got for q in got]
 
 
 def test_stuffed_columns(spark):
-    rows = [(i, f"s{i % 3}.example", t) for i, t in enumerate([*SPAM.values(), *HONEST.values(), None, SPAM["links"] * 2000])]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "row_id long, site string, content string, shingle string")
+    other = {k: v.replace("phone", "desk").replace("Phone", "Desk").replace("Acme", "Nord") for k, v in SPAM.items()}
+    spam = [(f"s{i}.example", t) for i, t in enumerate([*SPAM.values(), *other.values()])]
+    rows = [(i, h, t) for i, (h, t) in enumerate([*spam, *[("h.example", t) for t in HONEST.values()], (None, None), ("h.example", "  "), ("z.example", SPAM["links"] * 2000), (None, SPAM["links"])])]
+    rows.append(rows[0])  # a repeated row
+    df = spark.createDataFrame([(*r, "c", "d") for r in rows], "row_id long, site string, content string, phrase string, _row string")
     got = sorted(r["row_id"] for r in stuffed_pages(df, "row_id", "site", "content").collect())
-    assert got == [*range(len(SPAM)), len(rows) - 1]
+    assert got == [0, *range(len(spam)), len(rows) - 3, len(rows) - 2]
+    alone = df.withColumn("site", F.lit("one.example"))
+    assert stuffed_pages(alone, "row_id", "site", "content").count() == 0  # nothing is replicated on other hosts
     assert stuffed_pages(df.limit(0), "row_id", "site", "content").count() == 0
 
 
