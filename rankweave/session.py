@@ -58,24 +58,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` in the shared folder."""
-    shared = shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table of a fresh name in the shared folder and reads it back.
 
-    A column pruned, compressed cut of the lineage; the order of rows is not kept.
+    A column pruned, compressed cut of the lineage; the order of rows is not kept. The table is
+    deleted when the application ends, or earlier by ``release``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    spark.sparkContext.__dict__.setdefault("_rankweave_tables", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables of ``fresh_path`` and ``written``; results that still read them must be stored before."""
+    paths = spark.sparkContext.__dict__.pop("_rankweave_tables", [])
+    for path in paths:
+        files, where = _file_system(spark, path)
+        files.delete(where, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder (a file or a folder of files)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
