@@ -3,8 +3,8 @@
 Method: canonical records are range-partitioned by (key, id) and sorted within the partitions (the
 sort spills to disk); a scan of each sorted partition compares the full keys of adjacent rows and
 emits runs. As the id is part of the range, a key that holds a third of all rows is spread over
-many partitions; runs that touch a partition's edge are joined by a table of at most two rows a
-partition.
+many partitions. The runs are written once; those that touch a partition's edge are joined by a table
+of at most two rows a partition.
 
 Defined results: rows with a NULL or blank url or run are no case; repeated rows (also of one id)
 each count; ties cannot occur, as the smallest id represents; an empty table gives an empty result.
@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tracking parameters of the url key rule.
-TRACKING = ("gclid", "fbclid", "msclkid", "yclid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "spm")
+from rankweave.functions.urls import ALL_TRACKING
+from rankweave.session import written
+
 HELD = 16  # batches of one run that a scan holds back
 EDGE_LIMIT = 200_000  # edge rows (two a partition) up to which they are broadcast
 
@@ -45,7 +46,7 @@ def canonical_url(url: Column) -> Column:
         lambda kv: F.concat_ws("=", _squeezed(_decoded(F.split_part(kv, F.lit("="), F.lit(1)))), _squeezed(_decoded(F.regexp_extract(kv, r"=(.*)$", 1)))),
     )
     raw_name = lambda kv: F.replace(F.split_part(kv, F.lit("="), F.lit(1)), F.lit(" "), F.lit("_"))
-    pairs = F.filter(pairs, lambda kv: (kv != "=") & ~raw_name(kv).isin(*TRACKING) & ~raw_name(kv).startswith("utm_"))
+    pairs = F.filter(pairs, lambda kv: (kv != "=") & ~raw_name(kv).isin(*ALL_TRACKING) & ~raw_name(kv).startswith("utm_"))
     return F.when(query == "", F.concat(path, F.lit("?"))).otherwise(F.concat(path, F.lit("?"), F.array_join(F.array_sort(pairs), "&")))
 
 
@@ -120,6 +121,8 @@ def copy_membership(records: DataFrame, key: str, id_col: str, partitions: int |
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = records.select(F.col(key).alias("k"), F.col(id_col).cast("bigint").alias("id")).filter(F.col("k").isNotNull() & F.col("id").isNotNull())
     runs = chosen.repartitionByRange(n, "k", "id").sortWithinPartitions("k", "id").mapInArrow(_scan, "k string, id bigint, first bigint, edge boolean")
+    # written once: a second scan could draw other range bounds, and its edges would not fit the runs of the first
+    runs = written(runs.withColumn("k", F.when("edge", F.col("k"))), "copy-runs")
     edges = runs.filter("edge").groupBy("k").agg(F.min("first").alias("_first"))
     edges = F.broadcast(edges) if 2 * n <= EDGE_LIMIT else edges
     at_edge = runs.filter("edge").join(edges, "k").select("k", "id", F.col("_first").alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.llm.copies import canonical_run, canonical_text, canonical_url, collapsed, copy_membership
@@ -90,5 +91,13 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_document_copies, p8_ids, p8_counts, p9_mix, p9_selection, p9_mix_by_repeats, p10_found, p10_pieces)}
+def p10_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the pieces end: pieces by kind of cut, and the share of each among the cuts."""
+    kinds = F.create_map(*[F.lit(x) for kv in {0: "none", 1: "sentence", 2: "line", 3: "paragraph", 4: "end of text"}.items() for x in kv])
+    n = _pieces(spark, sf).groupBy("cut").agg(F.count("*").alias("n_pieces"), F.max("n_tokens").alias("most_tokens"))
+    cuts = F.sum(F.when(F.col("cut") < 4, F.col("n_pieces"))).over(W.partitionBy(F.lit(1)))  # over five kinds
+    return n.select(kinds[F.col("cut")].alias("boundary"), "n_pieces", "most_tokens", F.round(F.when(F.col("cut") < 4, F.col("n_pieces") / cuts), 6).alias("cut_share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_document_copies, p8_ids, p8_counts, p9_mix, p9_selection, p9_mix_by_repeats, p10_found, p10_pieces, p10_boundaries)}
 SQL: dict[str, str] = {}

@@ -5,14 +5,17 @@ similarity of the blocks of words before and after it is measured; topic changes
 that curve. Each piece ends at the deepest valley within its size window (between half the limit
 and the limit), ties going to the stronger boundary (paragraph, line, sentence) and then the later
 one. Where a window has no gap, the cut falls between pre-tokens, or inside one that is longer than
-the window, at a character boundary. The next piece starts ``overlap`` tokens before the cut.
+the window, at a character boundary. The next piece starts ``overlap`` tokens before the cut; an
+overlap of half the limit or more narrows the window to what keeps it.
 
 A piece is a range of the text's token ids: pieces cover the text, no piece exceeds the limit, and
 neighbours share exactly ``overlap`` tokens, up to three more where the range would start within a
-character.
+character. Only where one character has more tokens than the window holds does a piece start or end
+within it (its text shows U+FFFD there).
 
 Defined results: NULL, empty and blank texts and texts within the limit give no piece; repeated
-rows each give their pieces; a NULL limit splits nothing.
+rows each give their pieces; a NULL limit splits nothing; a limit under one, and an overlap that is
+negative or not below the limit, are errors.
 """
 
 from __future__ import annotations
@@ -99,13 +102,18 @@ def _depths(text: str, gaps: list[tuple[int, int]]) -> list[float]:
     return [round(a + b - 2 * s, 9) for a, b, s in zip(up_left, up_right, sims)]
 
 
+def check_limits(limit: int, overlap: int) -> None:
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError(f"a limit of {limit} tokens cannot have an overlap of {overlap}")
+
+
 def split_text(text: str, enc: Encoder, limit: int, overlap: int) -> list[tuple[int, int, str, int]]:
     """(first token, end token, text, strength of the cut) of the pieces; none if the text is within the limit."""
+    check_limits(limit, overlap)
     parts, ids = enc.pieces(text)
     total = sum(map(len, ids))
     if total <= limit:
         return []
-    overlap = max(0, min(overlap, limit // 2 - 1))
     flat = [t for x in ids for t in x]
     # starts[t]: whether token t starts a character; tokens and characters meet there
     chars = text.encode("utf-8", "replace")
@@ -130,7 +138,7 @@ def split_text(text: str, enc: Encoder, limit: int, overlap: int) -> list[tuple[
     ends = sorted(end_tok.values())
     out, start, i, j = [], 0, 0, 0
     while total - start > limit:
-        low, high = start + max(limit // 2, overlap + 4), start + limit
+        low, high = start + max(limit // 2, overlap + 1), start + limit
         while i < len(cuts) and cuts[i][0] < low:
             i += 1
         window, m = [], i
@@ -143,13 +151,10 @@ def split_text(text: str, enc: Encoder, limit: int, overlap: int) -> list[tuple[
             strength = 0
             while j + 1 < len(ends) and ends[j + 1] <= high:
                 j += 1
-            end = ends[j] if low <= ends[j] <= high else high
-            while not whole[end]:
-                end -= 1
+            end = ends[j] if low <= ends[j] <= high else next((e for e in range(high, max(low, high - 4) - 1, -1) if whole[e]), high)
         out.append((start, end, strength))
-        start = end - overlap
-        while not whole[start]:
-            start -= 1
+        last, start = start, end - overlap
+        start = next((s for s in range(start, max(last, start - 4), -1) if whole[s]), start)
     out.append((start, total, 4))
     return [(a, b, chars[byte_at[a] : byte_at[b]].decode("utf-8", "replace"), s) for a, b, s in out]
 
@@ -161,7 +166,8 @@ def split_documents(docs: DataFrame, key: str, text: str, path: str, limit: int
     """The pieces of each text over ``limit`` tokens; no shuffle."""
     chosen = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     key_type = chosen.schema["_key"].dataType.simpleString()
-    most, share = limit or 1 << 62, overlap or 0
+    most, share = 1 << 62 if limit is None else limit, overlap or 0
+    check_limits(most, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, schema = encoder(path, pattern), None

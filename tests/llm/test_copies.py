@@ -31,6 +31,19 @@ def test_hot_key_spans_partitions(spark):
     assert got == brute(rows)
 
 
+def test_result_does_not_depend_on_reuse_or_partitions(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot", "a", "b", f"u{rnd.randint(0, 900)}"]), i) for i in range(6000)]
+    want = brute(rows)
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            for n in (8, 60, 200):
+                assert members(spark, rows, n) == want
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_scan_over_small_batches():
     """Every cut into batches gives the same runs; edges are only the first and the last run."""
     import pyarrow as pa

@@ -50,19 +50,43 @@ LONG = {
 }
 
 
-@pytest.mark.parametrize("name", LONG)
-@pytest.mark.parametrize(("limit", "overlap"), [(256, 16), (100, 0), (64, 40)])
-def test_pieces_cover_and_fit(name, limit, overlap):
-    text = LONG[name]
+def fits(text, limit, overlap):
     ids = ENC.encode_batch([text])[0]
     pieces = split_text(text, ENC, limit, overlap)
-    want = max(0, min(overlap, limit // 2 - 1))
-    assert pieces[0][0] == 0 and pieces[-1][1] == len(ids)
-    for a, b, piece, _ in pieces:
+    assert bool(pieces) == (len(ids) > limit)
+    if pieces:
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(ids)
+    for a, b, _, _ in pieces:
         assert 0 < b - a <= limit
+    for (start, end, _, _), (later, *_rest) in zip(pieces, pieces[1:]):
+        assert start < later and overlap <= end - later <= overlap + 3
+    return ids, pieces
+
+
+@pytest.mark.parametrize("name", LONG)
+@pytest.mark.parametrize(("limit", "overlap"), [(256, 16), (100, 0), (64, 40), (100, 80)])
+def test_pieces_cover_and_fit(name, limit, overlap):
+    ids, pieces = fits(LONG[name], limit, overlap)
+    for a, b, piece, _ in pieces:
         assert piece.encode() == b"".join(ENC.bytes_of[t] for t in ids[a:b])  # whole characters
-    for (_, end, _, _), (start, *_rest) in zip(pieces, pieces[1:]):
-        assert want <= end - start <= want + 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_any_limit_ends(data):
+    limit = data.draw(st.integers(1, 64))
+    overlap = data.draw(st.integers(0, limit - 1))
+    text = data.draw(st.text(alphabet="ab .\n語漢字\U0001f600\U0001f469\u200dé", max_size=150))
+    fits(text, limit, overlap)
+
+
+def test_hard_limits():
+    for limit, overlap in ((1, 0), (3, 0), (4, 1), (8, 2), (8, 7)):
+        for text in ("\U0001f9ff\U0001fad8" * 30, "龘靐齉" * 30, "a b. " * 30):
+            fits(text, limit, overlap)
+    for limit, overlap in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError, match="limit"):
+            split_text("one two three", ENC, limit, overlap)
 
 
 def test_cut_at_topic_changes():
