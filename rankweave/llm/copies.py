@@ -122,7 +122,7 @@ def copy_membership(records: DataFrame, key: str, id_col: str, partitions: int |
     chosen = records.select(F.col(key).alias("k"), F.col(id_col).cast("bigint").alias("id")).filter(F.col("k").isNotNull() & F.col("id").isNotNull())
     runs = chosen.repartitionByRange(n, "k", "id").sortWithinPartitions("k", "id").mapInArrow(_scan, "k string, id bigint, first bigint, edge boolean")
     # written once: a second scan could draw other range bounds, and its edges would not fit the runs of the first
-    runs = written(runs.withColumn("k", F.when("edge", F.col("k"))), "copy-runs")
+    runs = written(runs.withColumn("k", F.when(F.col("edge"), F.col("k"))), "copy-runs")
     edges = runs.filter("edge").groupBy("k").agg(F.min("first").alias("_first"))
     edges = F.broadcast(edges) if 2 * n <= EDGE_LIMIT else edges
     at_edge = runs.filter("edge").join(edges, "k").select("k", "id", F.col("_first").alias("first"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.llm.copies import canonical_run, canonical_text, canonical_url, collapsed, copy_membership
-from rankweave.llm.mixing import leaf_budgets, selection, share_report
+from rankweave.llm.mixing import leaf_budgets, node_report, selection, share_report
 from rankweave.llm.splitting import split_documents
 from rankweave.llm.tokens import encoded, token_counts, vocabulary_path
 from rankweave.session import table, written
@@ -53,12 +53,12 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.lower(F.substring_index("lang", "-", 1)).alias("lang"), "text")
-    return written(token_counts(docs, ["doc_id", "source", "lang"], "text", vocabulary_path(TOKENIZER)), "sizes")
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.lower(F.substring_index("lang", "-", 1)).alias("lang"), "site", "text")
+    return written(token_counts(docs, ["doc_id", "source", "lang", "site"], "text", vocabulary_path(TOKENIZER)), "sizes")
 
 
 def p9_mix(spark: SparkSession, sf: str, total: float | None = None) -> DataFrame:
-    """Shares reached per source."""
+    """Shares reached per source, at ``total`` tokens or as many as leave every source its share."""
     sized, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
     return share_report(selection(sized, leaf_budgets(sized, targets, total), "doc_id"), sized, targets)
 
@@ -68,6 +68,12 @@ def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
     return selection(sized, leaf_budgets(sized, targets), "doc_id")
 
 
+def p9_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Budgets of the languages of each source, and which are short and made up by their siblings."""
+    sized, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
+    return node_report(leaf_budgets(sized, targets), 2)
+
+
 def p9_mix_by_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """As p9_mix over one and a half times the listed tokens: short sources give their shortage to the others."""
     sized, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
@@ -99,5 +105,5 @@ def p10_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return n.select(kinds[F.col("cut")].alias("boundary"), "n_pieces", "most_tokens", F.round(F.when(F.col("cut") < 4, F.col("n_pieces") / cuts), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_document_copies, p8_ids, p8_counts, p9_mix, p9_selection, p9_mix_by_repeats, p10_found, p10_pieces, p10_boundaries)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_document_copies, p8_ids, p8_counts, p9_mix, p9_selection, p9_languages, p9_mix_by_repeats, p10_found, p10_pieces, p10_boundaries)}
 SQL: dict[str, str] = {}

@@ -1,10 +1,11 @@
 import random
 
-from rankweave.llm.mixing import leaf_budgets, selection, share_report
+from rankweave.llm.mixing import leaf_budgets, node_report, selection, share_report
 
 
 def frames(spark, rows, targets):
-    sized = spark.createDataFrame([(i, s, l, n, "x") for i, (s, l, n) in enumerate(rows)], "doc_id long, source string, lang string, n_tokens long, budget string")
+    rows = [r if len(r) == 4 else (*r[:2], "h.example", r[2]) for r in rows]
+    sized = spark.createDataFrame([(i, s, l, d, n, "x") for i, (s, l, d, n) in enumerate(rows)], "doc_id long, source string, lang string, site string, n_tokens long, budget string")
     t = spark.createDataFrame([(*x, "x") for x in targets], "source string, target_share double, max_repeats int, lang string")
     return sized, t
 
@@ -42,6 +43,29 @@ def test_shortage_goes_to_siblings(spark):
     assert (r["a"]["used_tokens"], r["b"]["used_tokens"]) == (1000, 200)
 
 
+def test_shortage_stays_below_its_parent(spark):
+    """A language that is short is made up by a language of its source, a domain by one of its language; other sources keep their budgets."""
+    rows = [("a", "en", "x.example", 10)] * 900 + [("a", "de", "x.example", 10)] * 9 + [("a", "en", "y.example", 10)] * 4 + [("b", "en", "x.example", 10)] * 500
+    sized, t = frames(spark, rows, [("a", 0.5, 1), ("b", 0.5, 1)])
+    b = leaf_budgets(sized, t, 8000)
+    n = {(r["source"], r["lang"]): r for r in node_report(b, 2).collect()}
+    assert n["a", "de"]["short"] and n["a", "de"]["budget"] == 90  # all it has, less than its weight gives
+    assert abs(n["a", "en"]["budget"] - (4000 - 90)) < 1e-6 and abs(n["b", "en"]["budget"] - 4000) < 1e-6
+    leaves = {(r["source"], r["lang"], r["site"]): r["budget"] for r in b.collect()}
+    assert abs(leaves["a", "en", "y.example"] - 40) < 1e-6 and abs(leaves["a", "en", "x.example"] - (4000 - 90 - 40)) < 1e-6
+    used = share_report(selection(sized, b, "doc_id"), sized, t).collect()
+    assert {r["source"]: r["used_tokens"] for r in used} == {"a": 4000, "b": 4000}
+
+
+def test_many_small_leaves_miss_by_half_a_row(spark):
+    rnd = random.Random(9)
+    rows = [("a", rnd.choice(["en", "de", "fr"]), f"s{rnd.randint(0, 150)}", rnd.randint(50, 400)) for _ in range(900)] + [("b", None, None, 100)] * 400
+    r, taken = report(spark, rows, [("a", 0.6, 2), ("b", 0.4, 2)], total=60_000)
+    assert abs(r["a"]["used_tokens"] - 36_000) <= 200 and abs(r["b"]["used_tokens"] - 24_000) <= 50
+    assert taken == report(spark, rows, [("a", 0.6, 2), ("b", 0.4, 2)], total=60_000)[1]
+    assert all(u <= 2 for _, u in taken)
+
+
 def test_levels_against_iteration(spark):
     """Closed-form levels equal water filling by iteration."""
     rnd = random.Random(4)
