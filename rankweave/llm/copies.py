@@ -116,7 +116,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def copy_membership(records: DataFrame, key: str, id_col: str, partitions: int | None = None) -> DataFrame:
-    """``(k, id, first)`` of each record with a key: ``first`` is the smallest id among its copies."""
+    """``(id, first)`` of each record with a key: ``first`` is the smallest id among its copies."""
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = records.select(F.col(key).alias("k"), F.col(id_col).cast("bigint").alias("id")).filter(F.col("k").isNotNull() & F.col("id").isNotNull())
@@ -125,8 +125,8 @@ def copy_membership(records: DataFrame, key: str, id_col: str, partitions: int |
     runs = written(runs.withColumn("k", F.when(F.col("edge"), F.col("k"))), "copy-runs")
     edges = runs.filter("edge").groupBy("k").agg(F.min("first").alias("_first"))
     edges = F.broadcast(edges) if 2 * n <= EDGE_LIMIT else edges
-    at_edge = runs.filter("edge").join(edges, "k").select("k", "id", F.col("_first").alias("first"))
-    return runs.filter("NOT edge").select("k", "id", "first").unionByName(at_edge)
+    at_edge = runs.filter("edge").join(edges, "k").select("id", F.col("_first").alias("first"))
+    return runs.filter("NOT edge").select("id", "first").unionByName(at_edge)
 
 
 def collapsed(members: DataFrame) -> DataFrame:

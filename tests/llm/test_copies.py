@@ -10,12 +10,12 @@ def brute(rows):
     for k, i in rows:
         if k is not None and i is not None:
             first[k] = min(first.get(k, i), i)
-    return sorted((k, i, first[k]) for k, i in rows if k is not None and i is not None)
+    return sorted((i, first[k]) for k, i in rows if k is not None and i is not None)
 
 
 def members(spark, rows, n):
     df = spark.createDataFrame([(k, i, "clash") for k, i in rows], "key string, row_id long, k string")
-    return sorted((r["k"], r["id"], r["first"]) for r in copy_membership(df, "key", "row_id", n).collect())
+    return sorted((r["id"], r["first"]) for r in copy_membership(df, "key", "row_id", n).collect())
 
 
 def test_against_brute_force(spark):
