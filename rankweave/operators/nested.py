@@ -4,8 +4,11 @@ Method: each record is parsed as a stream into path-value-ordinal triples; the p
 their repeated ancestor (the part up to the last ``[]``); each group is pivoted into one table, whose
 rows carry the ordinals of their parents, so children link to parents by (record, ordinals prefix).
 
+The parser reads a record once from left to right and builds no value of it but its strings; triples
+are held until the record ends, as an invalid record has none. A number keeps its digits as written.
+
 A path is written from the root ``$``; ``[]`` stands for a place in an array, counted from 1 in
-``ordinals``. Paths named in ``repeated`` hold arrays: a lone object or string there is an array of
+``ordinals``; dots, brackets and backslashes of keys are escaped by a backslash. Paths named in ``repeated`` hold arrays: a lone object or string there is an array of
 one, and a string that itself holds JSON is read as that JSON.
 
 Defined results: NULL, blank or invalid JSON (also NaN, trailing text, a cut text) gives no triple;
@@ -15,115 +18,153 @@ key the last counts; depth is not limited; lone surrogates become ``?``.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRIPLE = "doc string, path string, ordinals array<int>, kind string, value string"
-_TOKEN = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))')
-
-
-def _no_constant(x: str) -> None:
-    raise ValueError(x)
-
-
-def _parse_deep(text: str):
-    """As ``json.loads`` with a stack of its own, for records nested deeper than the interpreter's stack."""
-    stack, at, done = [], 0, []  # stack of [container, pending key]
-    state = "value"
-    while True:
-        m = _TOKEN.match(text, at)
-        if not m:
-            break
-        at = m.end()
-        mark, string, atom = m.groups()
-        if state in ("value", "first") and mark in ("{", "["):
-            stack.append([{} if mark == "{" else [], None])
-            state = "key1" if mark == "{" else "first"
-            continue
-        if state in ("value", "first") and mark is None:
-            item = json.loads(string or atom)
-        elif state in ("key", "key1") and string:
-            stack[-1][1] = json.loads(string)
-            m = _TOKEN.match(text, at)
-            if not m or m.group(1) != ":":
-                raise ValueError("colon expected")
-            at, state = m.end(), "value"
-            continue
-        elif mark in ("}", "]") and stack and (state == "after" or state in ("key1", "first")) and isinstance(stack[-1][0], dict) == (mark == "}"):
-            item = stack.pop()[0]
-        elif mark == "," and state == "after" and stack:
-            state = "key" if isinstance(stack[-1][0], dict) else "value"
-            continue
-        else:
-            raise ValueError("unexpected token")
-        if stack:
-            box, key = stack[-1]
-            if isinstance(box, dict):
-                box[key] = item
-            else:
-                box.append(item)
-        else:
-            done.append(item)
-            break
-        state = "after"
-    if not done or text[at:].strip(" \t\r\n"):
-        raise ValueError("no JSON")
-    return done[0]
-
-
-def parse_json(text: str):
-    """The value of ``text``; ValueError if it is not valid JSON."""
-    try:
-        return json.loads(text, parse_constant=_no_constant)
-    except RecursionError:
-        return _parse_deep(text)
+_BLANK = re.compile(r"[ \t\n\r]*").match
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?").match
+_SPECIAL = re.compile(r"([.\[\]\\])")
+
+
+def _named(key: str) -> str:
+    """A key as part of a path: what has a meaning in paths is escaped."""
+    return _SPECIAL.sub(r"\\\1", key if key.isascii() else key.encode("utf-8", "replace").decode())
+
+
+def _prefixes(paths: frozenset[str]) -> frozenset[str]:
+    """The paths that lead to ``paths``, with themselves."""
+    out = set(paths)
+    for p in paths:
+        out.update(p[: m.start()] for m in re.finditer(r"(?<!\\)(?:\.|\[\])", p))
+    return frozenset(out)
 
 
-def _unwrapped(x):
-    """A string that holds JSON is read as that JSON, however often it is wrapped."""
-    while isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
+class _Stream:
+    """Reads one JSON text from left to right and notes its triples; no value is built but the strings at its leaves."""
+
+    def __init__(self, repeated: frozenset[str], keep: frozenset[str] | None):
+        self.repeated, self.keep = repeated, keep
+        self.lead = None if keep is None else _prefixes(keep)
+        self.out: list[tuple | None] = []
+
+    def note(self, path: str | None, at: tuple, kind: str, value: str | None) -> None:
+        if path is not None and (self.keep is None or path in self.keep):
+            self.out.append((path, at, kind, value))
+
+    def _wrapped(self, text: str, path: str, at: tuple) -> bool:
+        """Notes the JSON that a string holds; False if it holds none."""
+        size = len(self.out)
         try:
-            x = parse_json(x)
+            self.read(text, path, at)
         except ValueError:
-            break
-    return x
+            del self.out[size:]
+            return False
+        return True
+
+    def string(self, s: str, path: str | None, at: tuple) -> None:
+        if path is None:
+            return
+        if path in self.repeated:
+            if s.lstrip()[:1] in ("{", "[", '"') and self._wrapped(s, path, at):
+                return
+            path, at = path + "[]", (*at, 1)
+        elif path[-2:] == "[]" and path[:-2] in self.repeated and s.lstrip()[:1] == "{" and self._wrapped(s, path, at):
+            return
+        self.note(path, at, "string", s if s.isascii() else s.encode("utf-8", "replace").decode())
+
+    def below(self, path: str | None, step: str) -> str | None:
+        """The path one step down; None where nothing of it is wanted."""
+        if path is None:
+            return None
+        path += step
+        return path if self.lead is None or path in self.lead else None
+
+    def read(self, text: str, path: str | None, at: tuple) -> None:
+        # a frame: [places so far (of an array; None of an object), name -> its triples, name, first triple, lengths of the path and places around]
+        stack: list[list] = []
+        here, there = path, at  # of the innermost container that is wanted
+        i, end = _BLANK(text, 0).end(), len(text)
+        while True:
+            c = text[i : i + 1]
+            opened = c == "{" or c == "["
+            if c == '"':
+                s, i = scanstring(text, i + 1, True)
+                self.string(s, path, at)
+            elif opened:
+                if c == "{" and path in self.repeated:
+                    path, at = path + "[]", (*at, 1)
+                if c == "{":
+                    self.note(path, at, "object", None)
+                stack.append([0 if c == "[" else None, {}, None, 0, -1 if path is None else len(here), len(there)])
+                if path is not None:
+                    here, there = path, at
+                i = _BLANK(text, i + 1).end()
+            elif m := _NUMBER(text, i):
+                self.note(path, at, "number", m.group())
+                i = m.end()
+            else:
+                word = next((w for w in ("true", "false", "null") if text.startswith(w, i)), None)
+                if word is None:
+                    raise ValueError("a value is expected")
+                self.note(path, at, "null" if word == "null" else "boolean", None if word == "null" else word)
+                i += len(word)
+            # what follows a value, or opens the first value of a container
+            while True:
+                if not stack:
+                    if _BLANK(text, i).end() != end:
+                        raise ValueError("text after the value")
+                    return
+                top = stack[-1]
+                if not opened:
+                    if top[0] is None:
+                        top[1][top[2]] = (top[3], len(self.out))
+                    i = _BLANK(text, i).end()
+                c = text[i : i + 1]
+                if c == ("}" if top[0] is None else "]"):
+                    stack.pop()
+                    if top[4] >= 0:
+                        here, there = here[: top[4]], there[: top[5]]
+                    i, opened = i + 1, False
+                    continue
+                if not opened:
+                    if c != ",":
+                        raise ValueError("a comma is expected")
+                    i = _BLANK(text, i + 1).end()
+                break
+            if top[0] is None:
+                if text[i : i + 1] != '"':
+                    raise ValueError("a name is expected")
+                key, i = scanstring(text, i + 1, True)
+                i = _BLANK(text, i).end()
+                if text[i : i + 1] != ":":
+                    raise ValueError("a colon is expected")
+                i = _BLANK(text, i + 1).end()
+                if key in top[1]:  # of a repeated name the last counts
+                    for k in range(*top[1][key]):
+                        self.out[k] = None
+                top[2], top[3] = key, len(self.out)
+                path, at = None if top[4] < 0 else self.below(here, "." + _named(key)), there
+            else:
+                top[0] += 1
+                path, at = (None, there) if top[4] < 0 else (self.below(here, "[]"), (*there, top[0]))
 
 
-def triples_of(text: str | None, repeated: frozenset[str], keep: frozenset[str] | None = None) -> Iterator[tuple]:
+def triples_of(text: str | None, repeated: frozenset[str], keep: frozenset[str] | None = None) -> list[tuple]:
     """(path, ordinals, kind, value) of one record, in document order."""
     if text is None or not text.strip():
-        return
+        return []
+    stream = _Stream(repeated, keep)
     try:
-        root = parse_json(text)
+        stream.read(text, "$", ())
     except ValueError:
-        return
-    stack = [("$", (), root)]
-    while stack:
-        path, at, x = stack.pop()
-        if path in repeated:
-            x = _unwrapped(x)
-            x = [x] if isinstance(x, (dict, str)) else x
-        elif path.endswith("[]") and path[:-2] in repeated and isinstance(x, str) and x.lstrip()[:1] == "{":
-            x = _unwrapped(x)
-        if isinstance(x, list):
-            below = path + "[]"
-            stack.extend((below, (*at, i + 1), x[i]) for i in range(len(x) - 1, -1, -1))
-        elif isinstance(x, dict):
-            if keep is None or path in keep:
-                yield path, at, "object", None
-            stack.extend((f"{path}.{k}", at, x[k]) for k in reversed(x) if keep is None or any(p.startswith(f"{path}.{k}") for p in keep))
-        elif keep is None or path in keep:
-            if isinstance(x, str):
-                yield path, at, "string", x.encode("utf-8", "replace").decode()
-            elif x is None:
-                yield path, at, "null", None
-            else:
-                yield path, at, "boolean" if isinstance(x, bool) else "number", json.dumps(x)
+        return []
+    return [t for t in stream.out if t is not None]
 
 
 def json_triples(rows: DataFrame, key: str, columns: dict[str, tuple[str, ...]], keep: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -1,14 +1,16 @@
 """Problem 4: timestamps in mixed formats, precisions and zones become one UTC instant.
 
-Method: the raw strings are deduplicated together with their zone into a dictionary of distinct
-values, each of which is parsed once; the dictionary can be kept in a folder and is then only
-extended by values not yet in it; the instants are joined back to the rows.
+Method: the raw strings are deduplicated together with their source and zone into a dictionary of
+distinct values, each of which is parsed once; the dictionary can be kept in a folder and is then only
+extended by values not yet in it; the instants are joined back to the rows. Values that two writers
+add at once are in the folder twice; they are read once.
 
 Everything runs in the JVM. A pattern rewrites a value into fixed fields
 ``y|m|d|H|M|S|frac|ampm|zone``; ``try_make_timestamp`` then checks the calendar, and takes the
 earlier instant of a local time that comes twice and moves on a skipped one by the gap.
 
-Defined results: NULL, blank, relative, impossible or dateless values give no row; a NULL, unknown
+Defined results: NULL, blank, relative, impossible or dateless values give no row, nor do bare numbers
+of over 19 digits; fractions of any length count, cut off after milliseconds; a NULL, unknown
 or invalid zone is read as UTC; repeated rows each keep their own row; an empty table gives none.
 """
 
@@ -19,6 +21,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import exists, written
+
 # Month names (English, German, Spanish, French) and their usual short forms.
 MONTHS = {
     1: "january jan januar jänner enero ene janvier janv",
@@ -42,7 +46,7 @@ ABBREVIATIONS = {
     "kst": 540, "aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480, "nzst": 720, "nzdt": 780,
 }
 
-_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)? ?([AaPp]\.?[Mm]\.?)?"
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?([AaPp]\.?[Mm]\.?)?"
 _ZONE = r" ?((?:(?:UTC|GMT|utc|gmt) ?)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]{1,5})?(?: ?\[[^\]]*\]| ?\([^)]*\))?"
 _AFTER = rf"(?:(?:,? (?:at |um |a las |à )?|[Tt])?{_TIME}{_ZONE})?"
 _DOW = r"(?:[\p{L}]{2,10}\.?,? )?"
@@ -50,7 +54,7 @@ _NAME = r"(\p{L}{3,10})\.?"
 # (pattern, groups of y, m, d, first group of the time)
 SHAPES = (
     (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_AFTER}$", (1, 2, 3), 4),
-    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ](\d{{2}}):?(\d{{2}}):?(\d{{2}})?(?:[.,](\d{{1,12}}))?(){_ZONE}$", (1, 2, 3), 4),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ](\d{{2}}):?(\d{{2}}):?(\d{{2}})?(?:[.,](\d+))?(){_ZONE}$", (1, 2, 3), 4),
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_AFTER}$", (3, 1, 2), 4),
     (rf"^(\d{{1,2}})([-.])(\d{{1,2}})\2(\d{{4}}){_AFTER}$", (4, 3, 1), 5),
     (rf"^{_DOW}{_NAME} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_AFTER}$", (3, 1, 2), 4),
@@ -98,10 +102,10 @@ def parse_instant(raw: Column, zone: Column) -> Column:
         F.array(args),
         lambda a: F.unix_millis(F.try_make_timestamp(a.y, a.m, a.d, a.h, a.mi, a.s, a.z)) - a.off * F.lit(60000).cast("bigint") + F.coalesce(a.ms, F.lit(0)),
     )[0]
-    number = s.try_cast("decimal(30,9)")
+    number = F.regexp_replace(s, r"(\.\d{9})\d+$", "$1").try_cast("decimal(30,9)")
     size = F.abs(number)
     epoch = F.floor(F.when(size < 10**11, number * 1000).when(size < 10**14, number).when(size < 10**17, number / 1000).otherwise(number / 1000000)).cast("bigint")
-    return F.when(s.rlike(r"^-?\d{1,19}(?:\.\d{1,9})?$"), epoch).otherwise(stamp)
+    return F.when(s.rlike(r"^-?\d{1,19}(?:\.\d+)?$"), epoch).otherwise(stamp)
 
 
 def valid_zone(zone: Column) -> Column:
@@ -110,33 +114,44 @@ def valid_zone(zone: Column) -> Column:
     return F.when(zone.isin(known) if known else zone.isNotNull(), zone).otherwise(F.lit("UTC"))
 
 
+ENTRY = ["raw", "source", "zone"]
+
+
 def value_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
-    """Distinct ``(raw, zone)`` of ``values`` with ``utc_ms``, each parsed once.
+    """Distinct ``(raw, source, zone)`` of ``values`` with ``utc_ms``, each parsed once.
 
     With ``path`` the dictionary is a Parquet table there: only values not yet in it are parsed and
     appended, so a later run over more rows parses just its new values.
     """
-    fresh = values.select("raw", "zone").distinct()
+    fresh = values.select(*ENTRY).distinct()
     parsed = lambda d: d.withColumn("utc_ms", parse_instant(F.col("raw"), F.col("zone")))
     if path is None:
         return parsed(fresh)
     spark = values.sparkSession
-    shape = "raw string, zone string, utc_ms bigint"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.schema(shape).parquet(path), ["raw", "zone"], "left_anti")
+    shape = "raw string, source string, zone string, utc_ms bigint"
+    if exists(spark, path):
+        known = spark.read.schema(shape).parquet(path).select(*ENTRY)
+        fresh = fresh.join(known, [fresh[c].eqNullSafe(known[c]) for c in ENTRY], "left_anti")
     parsed(fresh).write.mode("append").parquet(path)
-    return spark.read.schema(shape).parquet(path)
+    # stored once more without repeats, so that the join back reads plain files and can split a hot value
+    return written(spark.read.schema(shape).parquet(path).dropDuplicates(ENTRY), "instants")
 
 
-def normalise_timestamps(rows: DataFrame, fields: list[str], zone: str, keys: list[str], path: str | None = None) -> DataFrame:
+def normalise_timestamps(rows: DataFrame, fields: list[str], zone: str, keys: list[str], path: str | None = None, source: str | None = None) -> DataFrame:
     """``keys``, ``field``, ``raw``, ``utc_ms`` of each value of ``fields`` that names a point in time.
 
-    ``zone`` is the column with the zone of a row (NULL or unknown: UTC).
+    ``zone`` is the column with the zone of a row (NULL or unknown: UTC), ``source`` that of the site
+    that wrote it, if values are to be kept apart by source.
     """
-    at = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
     inner = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
-    long = rows.select(*inner, valid_zone(F.col(zone)).alias("zone"), at.alias("_at")).select("*", "_at.field", "_at.raw").drop("_at")
-    long = long.filter(F.col("raw").rlike(r"\d"))  # no digit, no date
-    done = long.join(value_dictionary(long, path), ["raw", "zone"]).filter(F.col("utc_ms").isNotNull())
+    long = raw_values(rows, fields, zone, source, inner)
+    done = long.join(value_dictionary(long, path), ENTRY).filter(F.col("utc_ms").isNotNull())
     return done.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "field", "raw", "utc_ms")
+
+
+def raw_values(rows: DataFrame, fields: list[str], zone: str, source: str | None = None, more: list[Column] | None = None) -> DataFrame:
+    """``field``, ``raw``, ``source`` and ``zone`` of each value with a digit; without one it is no date."""
+    at = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
+    who = F.lit("") if source is None else F.coalesce(F.col(source).cast("string"), F.lit(""))
+    long = rows.select(*(more or []), who.alias("source"), valid_zone(F.col(zone)).alias("zone"), at.alias("_at")).select("*", "_at.field", "_at.raw").drop("_at")
+    return long.filter(F.col("raw").rlike(r"\d"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.hosts import site_of
-from rankweave.operators.timestamps import normalise_timestamps
-from rankweave.session import shared_dir, table
+from rankweave.operators.timestamps import ENTRY, normalise_timestamps, raw_values, value_dictionary
+from rankweave.session import fresh_path, table
 
 FIELDS = ["published_date", "modified_date"]
 ZONES_LIMIT = 8 << 20  # bytes of site_zones up to which it is broadcast; beyond, Spark chooses the join
@@ -27,8 +25,21 @@ def _zoned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/instants-{uuid.uuid4().hex}"
-    return normalise_timestamps(_zoned(spark, sf), FIELDS, "_zone", ["row_id"], path).select("row_id", "field", "utc_ms")
+    path = fresh_path(spark, "dictionary")
+    return normalise_timestamps(_zoned(spark, sf), FIELDS, "_zone", ["row_id"], path, "_site").select("row_id", "field", "utc_ms")
+
+
+def p4_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary that grows: the values of one field, then those of the other, of which only new ones are parsed."""
+    path, rows = fresh_path(spark, "dictionary"), _zoned(spark, sf)
+    steps, before = [], 0
+    for field in FIELDS:
+        values = raw_values(rows, [field], "_zone", "_site")
+        after = value_dictionary(values, path).count()
+        n = values.select(*ENTRY).distinct().agg(F.lit(field).alias("field"), F.count("*").alias("n_values"))
+        steps.append(n.withColumn("n_parsed", F.lit(after - before).cast("bigint")))
+        before = after
+    return steps[0].unionByName(steps[1])
 
 
 def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,5 +51,5 @@ def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return every.join(done, "field", "left").select("field", "n_rows", "n_values", F.coalesce("n_instants", F.lit(0)).alias("n_instants"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_coverage": p4_coverage}
+QUERIES = {"p4_found": p4_found, "p4_coverage": p4_coverage, "p4_increments": p4_increments}
 SQL: dict[str, str] = {}

@@ -1,31 +1,73 @@
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankweave.operators.nested import _parse_deep, json_triples, parse_json, path_groups, pivot_group, triples_of
+from rankweave.operators.nested import json_triples, path_groups, pivot_group, triples_of
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.text(max_size=5), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
 
 
-@settings(max_examples=200, deadline=None)
+def flat(x, path="$", at=()):
+    """Triples of a value, by the definition."""
+    if isinstance(x, dict):
+        out = [(path, at, "object", None)]
+        for k, v in x.items():
+            out += flat(v, path + "." + re.sub(r"([.\[\]\\])", r"\\\1", k), at)
+        return out
+    if isinstance(x, list):
+        return [t for i, v in enumerate(x, 1) for t in flat(v, path + "[]", (*at, i))]
+    kind = "string" if isinstance(x, str) else "null" if x is None else "boolean" if isinstance(x, bool) else "number"
+    return [(path, at, kind, x if kind in ("string", "null") else json.dumps(x))]
+
+
+@settings(max_examples=300, deadline=None)
 @given(JSON)
-def test_own_parser_agrees(x):
-    assert _parse_deep(json.dumps(x)) == x
-    assert _parse_deep(json.dumps(x, indent=1, ensure_ascii=False)) == x
+def test_triples_of_any_value(x):
+    assert triples_of(json.dumps(x), frozenset()) == flat(x)
+    assert triples_of(json.dumps(x, indent=1, ensure_ascii=False), frozenset()) == flat(x)
+
+
+BAD = ("", "[", "[1,]", "{1:2}", '{"a" 1}', "[1] x", "nul", '"a', "[1 2]", "}", '{"a":1,}', "NaN", "01", "-", "1.", "[,1]", '{"a":}', '"\x01"', "\ufeff[1]", "[1}", '{"a":1]', "'a'", "truex")
 
 
 def test_invalid_and_deep():
-    for bad in ("", "[", "[1,]", "{1:2}", '{"a" 1}', "[1] x", "nul", '"a', "[1 2]", "}", '{"a":1,}', "NaN"):
-        for f in (parse_json, _parse_deep):
-            try:
-                f(bad)
-            except ValueError:
-                continue
-            raise AssertionError(bad)
-    deep = "[" * 50000 + "]" * 50000
-    assert list(triples_of(deep, frozenset())) == []
-    assert list(triples_of(None, frozenset())) == list(triples_of(" ", frozenset())) == []
+    for bad in BAD:
+        assert triples_of(bad, frozenset()) == []
+        try:
+            json.loads(bad)
+        except ValueError:
+            continue
+        assert bad == "NaN"
+    assert triples_of("[" * 50000 + "]" * 50000, frozenset()) == []
+    assert triples_of('{"a":' * 3000 + "1" + "}" * 3000, frozenset())[-1][2:] == ("number", "1")
+    assert triples_of(None, frozenset()) == triples_of(" ", frozenset()) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='[]{}",:01-.eEtrufalsn \\', max_size=14))
+def test_valid_as_json_says(text):
+    try:
+        want = flat(json.loads(text, parse_int=lambda x: x, parse_float=lambda x: x, parse_constant=lambda x: 1 / 0))
+    except (ValueError, ZeroDivisionError):
+        want = []
+    got = triples_of(text, frozenset())
+    assert [t[:2] + t[3:] for t in got] == [t[:2] + t[3:] for t in want]
+
+
+def test_numbers_keys_and_repeats():
+    big = "9" * 5000
+    got = triples_of('{"n": [1.10, 1e400, %s, 0.1234567890123456789012345]}' % big, frozenset())
+    assert [v for *_, v in got[1:]] == ["1.10", "1e400", big, "0.1234567890123456789012345"]
+    paths = [p for p, *_ in triples_of('{"a.url": 1, "a": {"url": 2}, "b[]": 3, "c\\\\": 4}', frozenset())]
+    assert paths == ["$", "$.a\\.url", "$.a", "$.a.url", "$.b\\[\\]", "$.c\\\\"]
+    assert triples_of('{"a": {"x": 1, "y": 2}, "b": 3, "a": [4]}', frozenset()) == [("$", (), "object", None), ("$.b", (), "number", "3"), ("$.a[]", (1,), "number", "4")]
+
+
+def test_kept_paths_only():
+    text = '[{"url": "u", "urls": ["no"], "x": {"url": "no", "deep": [[{}]]}}, "s"]'
+    assert triples_of(text, frozenset(["$"]), frozenset(["$[]", "$[].url"])) == [("$[]", (1,), "object", None), ("$[].url", (1,), "string", "u"), ("$[]", (2,), "string", "s")]
 
 
 REPEATED = {"j": ("$", "$[].g", "$[].g[].links")}

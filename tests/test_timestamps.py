@@ -17,7 +17,7 @@ CASES = [
     ("03/05/2024", B, ms(2024, 3, 5, zone=B)), ("05-03-2024", B, ms(2024, 3, 5, zone=B)), ("05.03.2024 10:11", B, ms(2024, 3, 5, 10, 11, zone=B)), ("2024/3/5", B, ms(2024, 3, 5, zone=B)), ("03/05/2024 02:42 PM", B, ms(2024, 3, 5, 14, 42, zone=B)), ("03/05/2024 12:05 AM", B, ms(2024, 3, 5, 0, 5, zone=B)),
     ("Tue, 05 Mar 2024 10:11:12 GMT", B, ms(2024, 3, 5, 10, 11, 12)), ("Tue, 05 Mar 2024 10:11:12 +0545", B, ms(2024, 3, 5, 4, 26, 12)), ("March 5, 2024", B, ms(2024, 3, 5, zone=B)), ("Mar 5, 2024", NY, ms(2024, 3, 5, zone=NY)), ("March 5, 2024 3:29 PM CET", NY, ms(2024, 3, 5, 14, 29)),
     ("August 5, 2024 3:29 PM PDT", B, ms(2024, 8, 5, 22, 29)), ("10:11, 5 Mar 2024", B, ms(2024, 3, 5, 10, 11, zone=B)), ("5. März 2024", B, ms(2024, 3, 5, zone=B)), ("5 de marzo de 2024", B, ms(2024, 3, 5, zone=B)), ("5 août 2024", B, ms(2024, 8, 5, zone=B)), (" \t2024-03-05\n", B, ms(2024, 3, 5, zone=B)),
-    ("1709633472", B, 1709633472000), ("1709633472123", B, 1709633472123), ("1709633472123456", B, 1709633472123), ("1709633472.5", B, 1709633472500),
+    ("1709633472", B, 1709633472000), ("1709633472123", B, 1709633472123), ("1709633472123456", B, 1709633472123), ("1709633472.5", B, 1709633472500), ("2024-03-05T10:11:12." + "9" * 13 + "Z", B, ms(2024, 3, 5, 10, 11, 12, 999)), ("1709633472." + "9" * 14, B, 1709633472999),
     # a local time that comes twice: the earlier; one that is skipped: on by the gap
     ("2024-10-27 02:30:00", B, ms(2024, 10, 27, 0, 30)), ("2024-03-31 02:30:00", B, ms(2024, 3, 31, 1, 30)), ("2024-11-03 01:30", NY, ms(2024, 11, 3, 5, 30)), ("2024-03-10 02:15", NY, ms(2024, 3, 10, 7, 15)),
     ("2024-03-05 10:11", None, ms(2024, 3, 5, 10, 11)), ("2024-03-05 10:11", "No/Where", ms(2024, 3, 5, 10, 11)),
@@ -57,7 +57,23 @@ def test_repeats_empty_and_incremental_dictionary(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2  # only the new value was parsed and added
     empty = spark.createDataFrame([], "row_id long, a string, b string, z string")
     assert normalise_timestamps(empty, ["a", "b"], "z", ["row_id"]).count() == 0
-    assert value_dictionary(spark.createDataFrame([], "raw string, zone string")).count() == 0
+    assert value_dictionary(spark.createDataFrame([], "raw string, source string, zone string")).count() == 0
+
+
+def test_entries_written_twice_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    run(spark, [("2024-03-05", B)], path)
+    spark.read.parquet(path).write.mode("append").parquet(path + "2")
+    spark.read.parquet(path).write.mode("append").parquet(path + "2")
+    df = spark.createDataFrame([(1, "2024-03-05", B)], "row_id long, published_date string, z string")
+    assert normalise_timestamps(df, ["published_date"], "z", ["row_id"], path + "2").count() == 1
+
+
+def test_entries_are_kept_apart_by_source(spark, tmp_path):
+    path = str(tmp_path / "sources")
+    df = spark.createDataFrame([(1, "2024-03-05", B, "a"), (2, "2024-03-05", B, "b"), (3, "2024-03-05", B, None), (4, "2024-03-05", B, "a")], "row_id long, d string, z string, site string")
+    assert normalise_timestamps(df, ["d"], "z", ["row_id"], path, "site").count() == 4
+    assert spark.read.parquet(path).count() == 3
 
 
 @pytest.mark.parametrize("fields", [["a"], ["a", "b"]])
