@@ -9,7 +9,8 @@ where this one stops (marks and closing blanks aside).
 The classifier is fitted on at most ``TRAIN_ROWS`` records taken as intact: the stated length is the
 length, and no sibling goes on. They are chosen by hash, so the choice is stable, and have at most
 ``TRAIN_CHARS`` characters each; nothing else is bounded. A few of them are cut all the same, which
-the regression bears.
+the regression bears. As more records are cut in training than in the corpus, the log-odds are shifted
+to the share of cut records that all scores together show.
 
 Defined results: NULL and blank texts are no case; a differing stated length alone is none; rows
 without url have no siblings; repeated rows are each scored; rows with
@@ -19,6 +20,7 @@ nothing is found.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -30,21 +32,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.lines import STOP, WORD, furniture_score, is_prose, title_like
+from rankweave.llm.lines import ITEM, RELATED, STOP, WORD, furniture_score, is_prose, title_like
 from rankweave.session import written
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
 PAGE_PARTS = 16  # the captures of one page are spread over as many parts, by the hash of the text
 CUT_SHARE = 0.4  # of the intact records are cut once
 BUCKETS = 2048
+LEAST_SHARE = 0.005  # of cut records that is assumed
 MARK = r"\s*(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|(?:…|\.\.\.)?\s*\[\+\d+ (?:chars?|characters|bytes)\])\s*$"
 _MARK = re.compile(MARK)
 MARKS = ("…", "...", " [...]", "… [+{n} chars]")
 LIMITS = (250, 256, 300, 400, 500, 512, 600, 700, 750, 800, 900, 1000, 1024, 1200, 1500, 1600, 1800, 2000, 2048)
 _TERMINAL = re.compile(r"[.!?。！？][\"”’»)\]]*$")
+_STOPS = (". ", ".\n", "? ", "! ", "?\n", "!\n", "。", "！", "？")
+_CODE = re.compile(r"(?<!\w)(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}$|(?<!\w)\d{5,}$")  # a reference or incident number
 _CLAUSE = re.compile(r"[.!?。！？][\"”’»)\]]*\s+")
 
 
+def under_related(lines: list[str]) -> bool:
+    """Whether the last line is one of the titles below a heading of related pages."""
+    for x in reversed(lines):
+        if RELATED.match(x.strip()):
+            return x is not lines[-1]
+        if not title_like(x.strip()):
+            return False
+    return False
+
+
 def closing(text: str, stated: int | None) -> tuple:
     """What the end of a text looks like, before anything is known of other texts."""
     size, size_b = len(text), len(text.encode("utf-8", "replace"))
@@ -53,16 +68,20 @@ def closing(text: str, stated: int | None) -> tuple:
     tail = bare[-1:] or " "
     stripped = bare.rstrip()
     last = stripped.rsplit("\n", 1)[-1].strip()
-    furniture = len(last) < 180 and furniture_score(last) >= 1.5 if last else False
+    lines = [x for x in stripped.split("\n") if x and not x.isspace()]
+    furniture = bool(last) and (furniture_score(last) >= 1.5 or under_related(lines))
+    stops = sum(map(stripped[:-1].count, _STOPS))  # does this text end sentences at all?
+    style = "none" if not stops else "few" if 150 * stops < size else "most"
+    tiny = min(size // 60, 3)
     terminal = bool(_TERMINAL.search(last[-4:]))
     clause = _CLAUSE.split(last[-400:])[-1]
     words = WORD.findall(clause)
     final = stripped[-1:] or " "
     kind = (
-        "broken" if "�" in bare[-4:] else "terminal" if terminal else "comma" if final in ",;:–-" else "digit" if final.isdigit() else "open" if final in "([{<\"“„«¿¡/" else "letter" if final.isalpha() else "other"
+        "broken" if "�" in bare[-4:] else "terminal" if terminal else "comma" if final in ",;:–-" else "code" if _CODE.search(last[-24:]) else "digit" if final.isdigit() else "open" if final in "([{<\"“„«¿¡/" else "letter" if final.isalpha() else "other"
     )
     prose = sum(w.lower() in STOP for w in words) >= 2 and len(words) >= 4 or is_prose(last)
-    state = "furniture" if furniture else "title" if not prose and title_like(last) else "prose" if prose else "short" if len(words) <= 4 else "run"
+    state = "furniture" if furniture else "title" if not prose and title_like(last) else "prose" if prose else "row" if len(lines) > 2 and ITEM.match(last) and ITEM.match(lines[-2].strip()) else "short" if len(words) <= 4 else "run"
     round_ = "limit" if size % 100 == 0 or size_b % 100 == 0 or size in LIMITS or size_b in LIMITS else "none"
     if stated is None or stated <= 0:
         rel = "none"
@@ -75,7 +94,7 @@ def closing(text: str, stated: int | None) -> tuple:
     word = words[-1].lower() if words else ""
     alone = [
         f"kind={kind}", f"round={round_}", f"stated={rel}", f"mark={mark}", f"space={tail.isspace()}", f"tail={tail if not tail.isalnum() else 'w'}", f"kr={kind},{round_}", f"kt={kind},{rel}",
-        f"stop={word in STOP and not terminal}", f"wl={min(len(word), 8)},{kind}" if prose else "wl=-", f"cl={min(len(words), 12)},{kind}",
+        f"stop={word in STOP and not terminal}", f"style={style}", f"yk={style},{kind},{rel}", f"ys={style},{state},{rel}", f"tiny={tiny},{kind},{state}", f"fr={furniture},{kind},{rel}", f"yr={style},{round_},{kind}", f"wl={min(len(word), 8)},{kind}" if prose else "wl=-", f"cl={min(len(words), 12)},{kind}",
     ]
     return hashed(alone), kind, state, round_, rel, furniture
 
@@ -120,7 +139,7 @@ def artificial(intact: list[tuple[str, int | None, bool]], seed: int = 7) -> lis
     return out
 
 
-def fit(rows: list[tuple[list[int], int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+def fit(rows: list[tuple[list[int], int]], rounds: int = 900, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
     """Weights (the last is the intercept) of a logistic regression; batch gradient with AdaGrad."""
     w = np.zeros(BUCKETS + 1)
     if not rows:
@@ -199,7 +218,8 @@ def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str,
     keys = facts.filter("right AND NOT longer").orderBy("_order", "_key").limit(TRAIN_ROWS).select("_key", "inner", "pages", "_order")
     sample = base.select("_key", "_text", "_stated", "_order").join(F.broadcast(keys), ["_key", "_order"]).orderBy("_order", "_key").collect()  # TRAIN_ROWS at most
     intact = [(r["_text"], r["_stated"], r["inner"] or r["pages"] and closing(r["_text"], None)[-1]) for r in sample]
-    weights = fit(artificial(intact))
+    train = artificial(intact)
+    weights = fit(train)
     types = {f.name: f.dataType.simpleString() for f in base.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +237,28 @@ def score_cuts(rows: DataFrame, key: str, text: str, page: Column, stated: str,
     z = base.mapInArrow(run, f"_key {types['_key']}, _source {types['_source']}, _order bigint, z00 double, z01 double, z10 double, z11 double, _furniture boolean").join(facts, ["_key", "_order"])
     known = F.col("inner") | (F.col("pages") & F.col("_furniture"))
     one = F.when(known, F.when(F.col("longer"), F.col("z11")).otherwise(F.col("z10"))).otherwise(F.when(F.col("longer"), F.col("z01")).otherwise(F.col("z00")))
-    return z.select(F.col("_key").alias(key), F.col("_source").alias(source), (1 / (1 + F.exp(-one))).alias("score"))
+    scored = written(z.select("_key", "_source", one.alias("_z")), "cut-scores")
+    bins = scored.groupBy(F.round(F.least(F.greatest("_z", F.lit(-40.0)), F.lit(40.0)), 1).alias("z")).count().collect()  # 801 at most
+    shift = prior_shift([(r["z"], r["count"]) for r in bins], sum(t for _, t in train) / max(1, len(train)))
+    return scored.select(F.col("_key").alias(key), F.col("_source").alias(source), (1 / (1 + F.exp(-(F.col("_z") + F.lit(shift))))).alias("score"))
+
+
+def prior_shift(bins: list[tuple[float, int]], trained: float, rounds: int = 200) -> float:
+    """What to add to log-odds learned where a share ``trained`` is cut, so that they hold for all records.
+
+    The share of cut records is that at which the mean probability equals it (expectation
+    maximisation over the log-odds of all records, as a histogram).
+    """
+    if not bins or not 0 < trained < 1:
+        return 0.0
+    z, n = np.array([b for b, _ in bins]), np.array([c for _, c in bins], dtype=float)
+    odds = math.log(trained / (1 - trained))
+    shift = 0.0
+    for _ in range(rounds):
+        share = float(np.average(1 / (1 + np.exp(-(z + shift))), weights=n))
+        share = min(max(share, LEAST_SHARE), trained)
+        shift = math.log(share / (1 - share)) - odds
+    return shift
 
 
 def cut_rates(scored: DataFrame, source: str) -> DataFrame:

@@ -26,10 +26,7 @@ home|start|blog|news|newsroom|shop|store|forum|forums|community|contact|contact
 |confidentialité|cgu|plan du site|boutique|rechercher|panier|compte|imprimer|copier le lien|conditions
 """
 LABELS = frozenset(x.strip() for x in MENU.replace("\n", "").split("|") if x.strip())
-_LABEL_WORDS = sorted(LABELS, key=lambda x: -len(x))
 _SEPARATED = re.compile(r"\s*(?:[|·•›»>/–]|\s-\s|\s{2,}|\t)\s*")
-_COVER = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, _LABEL_WORDS)) + r")(?!\w)", re.I)
-
 # Phrases of page furniture, each group with its weight.
 PHRASES = (
     (4.0, r"\bcookies?\b.{0,80}\b(?:accept|agree|ok|allow|refuse|reject|decline|settings|save|set|use|notice|manage|necessary|necesarias|aceptar|rechazar|annehmen|ablehnen|refuser|accepter|autoriser|zustimmen|einstellungen|paramètres|verwenden|utilizamos|utilisons|déposons|usamos)\b"),
@@ -66,18 +63,23 @@ STOP = frozenset(
     " le les un une des et ou du de en pour avec est sont ce cette que qui se sa son ses ne pas plus mais si quand au aux dans sur il elle nous vous tout".split()
 )
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_LABEL_WORDS = frozenset(tuple(WORD.findall(x)) for x in LABELS)
+_LABEL_SIZES: dict[str, tuple[int, ...]] = {w: tuple(sorted({len(x) for x in _LABEL_WORDS if x[0] == w}, reverse=True)) for w in {x[0] for x in _LABEL_WORDS}}
 _END = re.compile(r"[.!?。！？…][\"”’)\]]*$")
 
 
 @lru_cache(1 << 16)
 def menu_share(line: str) -> float:
     """Share of a line's letters that are menu labels."""
-    letters = sum(map(len, WORD.findall(line)))
-    if not letters or len(line) > 200:
-        return 0.0
-    labels = [sum(map(len, WORD.findall(m.group()))) for m in _COVER.finditer(line)]
-    share = sum(labels) / letters
-    return share if len(labels) > 2 or share > 0.97 else 0.0  # two labels in a phrase are no menu
+    words = WORD.findall(line.lower())
+    letters, covered, found, i = sum(map(len, words)), 0, 0, 0
+    while i < len(words):
+        n = next((n for n in _LABEL_SIZES.get(words[i], ()) if tuple(words[i : i + n]) in _LABEL_WORDS), 0)
+        covered += sum(map(len, words[i : i + n]))
+        found += n > 0
+        i += n or 1
+    share = covered / letters if letters else 0.0
+    return share if found > 2 or share > 0.97 else 0.0  # two labels in a phrase are no menu
 
 
 _STOPPED = re.compile(r"[.!?…](?:[\"”’)]|\s|$)")
@@ -92,15 +94,29 @@ def is_prose(line: str) -> bool:
     return len(words) >= 5 and sum(w in STOP for w in words) >= max(2, len(words) // 8)
 
 
-_ITEM = re.compile(r"(?:[-*•#]\s*\S|\d{1,3}[.):]\s|#\d)|[^:|]{2,40}: \S|.*\t|[^|]+ \| [^|]+ \| |[^,]+, [\d.,]+, |.+ - [\d.,]+ - ")  # of a list or a table
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+TOLD = 0.6  # share of sentences without furniture phrases up to which a line of sentences can be furniture
+
+
+def _told_share(line: str) -> float:
+    """Share of a line's characters in full sentences that hold no strong phrase of furniture."""
+    told = 0
+    for x in _SENTENCES.split(line):
+        words = WORD.findall(x.lower())
+        if len(words) >= 5 and sum(w in STOP for w in words) >= 2:
+            may = _SCREEN.mask(x.lower())
+            if not any(w >= 3 and may >> i & 1 and p.search(x) for i, (w, p) in enumerate(_PHRASES)):
+                told += len(x)
+    return told / len(line)
+
+
+ITEM = re.compile(r"(?:[-*•#]\s*\S|\d{1,3}[.):]\s|#\d)|[^:|]{2,40}: \S|.*\t|[^|]+ \| [^|]+ \| |[^,]+, [\d.,]+, |.+ - [\d.,]+ - ")  # of a list or a table
 
 
 @lru_cache(1 << 16)
 def furniture_score(line: str) -> float:
     """Log-odds that a stripped, non-empty line taken alone is furniture."""
     s, prose = -1.0, None
-    if len(line) > 180 and is_prose(line):
-        return -4.0
     low = line.lower()
     may = _SCREEN.mask(low)
     hits = sorted((w for i, (w, p) in enumerate(_PHRASES) if may >> i & 1 and p.search(line)), reverse=True) if may else []
@@ -116,17 +132,17 @@ def furniture_score(line: str) -> float:
         hits.append(5.0)
     elif low.rstrip(":") in LABELS:
         s = 0.9
-    elif len(line) <= 160 and not (prose := is_prose(line)) and menu_share(line) >= 0.75:
+    elif not (prose := is_prose(line)) and menu_share(line) >= 0.75:
         hits.append(4.0)
     if hits:
         s = hits[0] + sum(hits[1:]) / 2
     if is_prose(line) if prose is None else prose:
-        s = -4.0 if not hits or hits[0] < 3 else s - (1.5 if len(line) > 120 else 0.0)
-    elif not hits and _ITEM.match(line):
+        s = -4.0 if not hits or hits[0] < 3 or _told_share(line) > TOLD else s
+    elif not hits and ITEM.match(line):
         s = min(s, -2.6)
     elif s == -1.0 and title_like(line):
         s = -3.0 if len(WORD.findall(line)) > 3 else -2.0
-    elif len(line) > 120 and len(WORD.findall(line)) > 30:
+    elif len(WORD.findall(line)) > 30:
         s -= 2.0
     return max(-5.0, min(6.0, s))
 

@@ -20,6 +20,10 @@ def _pages(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return rows.withColumn("_site", site)
 
 
+def _page_of(url: str = "url"):
+    return F.when(F.regexp_replace(url, r"[^\p{L}\p{N}]", "") != "", canonical_url(F.col(url)))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages(_pages(spark, sf), "row_id", "_site", "content").select("row_id")
 
@@ -30,13 +34,13 @@ def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return residue_pages(_pages(spark, sf), "row_id", "_site", "content").select("row_id")
+    return residue_pages(_pages(spark, sf), "row_id", "_site", "content", _page_of()).select("row_id")
 
 
 def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
     """serp_export without the excluded rows, per site, with the hints' agreement."""
     rows = _pages(spark, sf, "contentError", "js_render_suspected")
-    bad = residue_pages(rows, "row_id", "_site", "content").select("row_id", F.lit(True).alias("_bad"))
+    bad = residue_pages(rows, "row_id", "_site", "content", _page_of()).select("row_id", F.lit(True).alias("_bad"))
     kept = rows.select("row_id", "_site", "contentError", "js_render_suspected").join(bad, "row_id", "left")
     hint = (F.trim(F.coalesce("contentError", F.lit(""))) != "") | (F.lower("js_render_suspected") == "true")
     return kept.groupBy(F.col("_site").alias("site")).agg(F.count_if(F.col("_bad").isNull()).alias("n_kept"), F.count("_bad").alias("n_excluded"), F.count_if(F.col("_bad").isNotNull() & hint).alias("n_hinted"))
@@ -52,8 +56,7 @@ def p5_body(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = _pages(spark, sf, "contentLength")
-    page = F.when(F.regexp_replace("url", r"[^\p{L}\p{N}]", "") != "", canonical_url(F.col("url")))
-    return score_cuts(rows, "row_id", "content", page, "contentLength", "_site")
+    return score_cuts(rows, "row_id", "content", _page_of(), "contentLength", "_site")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

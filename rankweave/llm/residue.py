@@ -1,7 +1,8 @@
 """Problem 2: unfilled placeholders, filler, error messages and demands for scripts.
 
-Method: lines are normalised (digits masked) and counted by host over all pages; a page's recurrent
-lines without evidence are subtracted as boilerplate; a page is excluded if what remains holds an
+Method: lines are normalised (digits masked) and the distinct pages with each line are counted by host,
+over all rows (captures of one page count once, else its own text would recur); a page's recurrent lines
+without evidence are subtracted as boilerplate; a page is excluded if what remains holds an
 unfilled placeholder, or is mostly an error, a demand for scripts or filler. Titles do not count as
 content. A text that only quotes such things has prose besides, or quotes them as code.
 
@@ -25,17 +26,18 @@ from rankweave.llm.mincut import furniture_lines
 from rankweave.llm.screen import Screen
 from rankweave.session import written
 
-RECURRENT = 3  # rows of a host from which a line is boilerplate
+RECURRENT = 3  # pages of a host from which a line is boilerplate
+SALTS = 16  # parts of a line that many pages have
 PROSE_LEFT = 120  # characters of other prose that a message may have beside it
 
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\{#[^#{}\n]{1,60}#?\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{0,60}%>|%%[^%\s]{2,40}%%|@@[^@\s]{2,40}@@|__[A-Za-z][A-Za-z0-9_.-]{1,40}__|<<[^<>\n]{2,40}>>"
-    r"|\[\[[^\[\]\n]{2,40}\]\]|%\([a-z_.-]+\)[sd]|(?<![\w$])\$[A-Z][A-Z_.-]{2,40}\$|(?<![\w%])%[A-Za-z][A-Za-z]*[_.-][A-Za-z_.-]{1,40}%|(?<![\w%])%[A-Z]{3,30}%|(?<![\w{])\{[A-Za-z]+(?:[_.-][A-Za-z]+)*\}(?!\})"
-    r"|<(?!/?(?:p|b|i|u|a|br|hr|em|li|ul|ol|div|span|strong|code|pre|table|tr|td|th|h\d|img)\b)[A-Za-z]+(?:[_.-][A-Za-z]+)*>|&lt;[A-Za-z][^&\n]{1,40}&gt;|<(?:your|insert|add|enter)\b[^<>\n]{1,40}>|\[object Object\]"
-    r"|(?i:\[(?:insert|your|add|enter|replace|put|please|name of|company|product|city|date|author|price|image|photo|hier|aquí|insérer|ici)\b[^\[\]\n]{0,40}\](?!\()|\[[^\[\]\n]{2,40} (?:missing|here|goes here|tbd|fehlt|falta|manquant)\](?!\())|\[[A-Z]{2,}(?:[ _-][A-Z]+)+\](?!\()"
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|\{#[^#{}\n]+#?\}|[$#]\{[^{}\n]+\}|<%[^%\n]*%>|%%[^%\s]{2,}%%|@@[^@\s]{2,}@@|__[A-Za-z][A-Za-z0-9_.-]+__|<<[^<>\n]{2,}>>"
+    r"|\[\[[^\[\]\n]{2,}\]\]|%\([a-z_.-]+\)[sd]|(?<![\w$])\$[A-Z][A-Z_.-]{2,}\$|(?<![\w%])%[A-Za-z][A-Za-z]*[_.-][A-Za-z_.-]+%|(?<![\w%])%[A-Z]{3,30}%|(?<![\w{])\{[A-Za-z]+(?:[_.-][A-Za-z]+)*\}(?!\})"
+    r"|<(?!/?(?:p|b|i|u|a|br|hr|em|li|ul|ol|div|span|strong|code|pre|table|tr|td|th|h\d|img)\b)[A-Za-z]+(?:[_.-][A-Za-z]+)*>|&lt;[A-Za-z][^&\n]+&gt;|<(?:your|insert|add|enter)\b[^<>\n]+>|\[object Object\]"
+    r"|(?i:\[(?:insert|your|add|enter|replace|put|please|name of|company|product|city|date|author|price|image|photo|hier|aquí|insérer|ici)\b[^\[\]\n]*\](?!\()|\[[^\[\]\n]{2,} (?:missing|here|goes here|tbd|fehlt|falta|manquant)\](?!\())|\[[A-Z]{2,}(?:[ _-][A-Z]+)+\](?!\()"
     r"|(?<!\w)(?:TODO|FIXME|TBD|XXX)(?!\w)[:.]|\bTODO\b(?=: )",
 )
-_QUOTED = re.compile(r"`[^`\n]*`|(?<!\w)[\"“„«'‘]\s?[{\[<$%@#_][^\"”“»'’\n]{0,60}[}\]>$%@_]\s?[\"”“»'’]")
+_QUOTED = re.compile(r"`[^`\n]*`|(?<!\w)[\"“„«'‘]\s?[{\[<$%@#_][^\"”“»'’\n]*[}\]>$%@_]\s?[\"”“»'’]")
 _BROKEN = re.compile(r"^(?:null|undefined|NaN|None):(?=\s|$)|\bxxx [a-z ]{2,40} xxx\b", re.M)
 FILLER = re.compile(
     r"\b(?:goes here|placeholder (?:text|copy)|replace it with your|your own (?:text|copy) (?:here|before)|click here to edit|edit this (?:text|paragraph|section)|write your [\w ]{2,30} in this|insert [\w ]{2,30} here\b|type your (?:text|copy)|to be replaced\b|(?:sample|example) page\b|edit me\b|in this box\b|your [\w ]{3,30} here\b|(?:image|photo) caption\b|button text\b|dummy (?:text|entry)|please ignore\b|\basdf\b|sample text|filler text|your text here|not for publication"
@@ -93,7 +95,7 @@ def line_marks(line: str) -> int:
         marks |= MESSAGE_MARK
     if may & 2 and FILLER.search(line) or may & 4 and is_latin(line):
         marks |= FILLER_MARK
-    elif len(line) < 200 and (may & 16 and len(counted := _COUNTED.findall(line)) > 1 and 2 * len(set(counted)) <= len(counted) or _stutters(low)):
+    elif (may & 16 and len(counted := _COUNTED.findall(line)) > 1 and 2 * len(set(counted)) <= len(counted) or _stutters(low)):
         marks |= FILLER_MARK
     return marks
 
@@ -111,7 +113,7 @@ def message_parts(lines: list[str]) -> tuple[int, int, int]:
         for s in _SENTENCES.split(x):
             if is_latin(s) or (marks & FILLER_MARK and (line_marks(s) & FILLER_MARK or not is_prose(s))):
                 filler += len(s)
-            elif marks & MESSAGE_MARK and len(s) <= 160 and (_STATUS.match(s) or MESSAGE.search(s)):
+            elif marks & MESSAGE_MARK and (_STATUS.match(s) or MESSAGE.search(s)):
                 message, hit = message + len(s), True
             elif hit and len(s) < 90:
                 message += len(s)  # what a message goes on to say
@@ -145,31 +147,47 @@ def masked(line: Column) -> Column:
     return F.translate(F.lower(line), "0123456789 \t\r", "")
 
 
-def line_counts(rows: DataFrame, host: str, text: str) -> DataFrame:
-    """``_host``, ``_line`` (hashes) and ``n_rows``: rows of a host with the line, over all rows."""
+def _host(host: str) -> Column:
+    return F.coalesce(F.xxhash64(F.col(host)), F.lit(0)).alias("_host")
+
+
+def _page(page: Column | None, text: str) -> Column:
+    """A number for the page of a row: of its name, or of its text where it has none."""
+    own = F.xxhash64(F.col(text))
+    return own if page is None else F.coalesce(F.when(page.isNotNull(), F.xxhash64(page)), own)
+
+
+def line_counts(rows: DataFrame, host: str, text: str, page: Column | None = None) -> DataFrame:
+    """``_host``, ``_line`` (hashes) and ``n_pages``: distinct pages of a host with the line, over all rows; blank lines are left out."""
     own = F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: F.xxhash64(masked(x))))
-    lines = rows.select(F.coalesce(F.xxhash64(F.col(host)), F.lit(0)).alias("_host"), F.explode(own).alias("_line"))
-    return lines.groupBy("_host", "_line").agg(F.count("*").alias("n_rows"))
+    lines = rows.select(_host(host), _page(page, text).alias("_page"), F.explode(own).alias("_line")).filter(F.col("_line") != F.xxhash64(F.lit("")))
+    return lines.distinct().groupBy("_host", "_line").agg(F.count("*").alias("n_pages"))
 
 
-def residue_pages(rows: DataFrame, key: str, host: str, text: str) -> DataFrame:
-    """``key``, ``placeholder``, ``no_body`` of the pages to exclude."""
-    some = rows.select(F.col(key).alias("_key"), F.coalesce(F.xxhash64(F.col(host)), F.lit(0)).alias("_host"), F.col(text).alias("_text"))
+def residue_pages(rows: DataFrame, key: str, host: str, text: str, page: Column | None = None) -> DataFrame:
+    """``key``, ``placeholder``, ``no_body`` of the pages to exclude; ``page`` names the page of a row."""
+    some = rows.select(F.col(key).alias("_key"), _host(host), F.col(text).alias("_text"))
     suspects = _suspects(some)
     parts = suspects.select("_key", "_host", F.posexplode(F.split("_text", "\n")).alias("_no", "_raw")).withColumn("_line", F.xxhash64(masked(F.col("_raw"))))
-    parts = written(parts, "residue-lines")  # read twice: for the lines to count, and for the pages
+    parts = written(parts.filter(F.col("_raw").rlike(r"\S")), "residue-lines")  # read twice: for the lines to count, and for the pages
     keys = parts.select("_host", "_line").distinct()
-    counts = line_counts(rows, host, text).filter(F.col("n_rows") >= RECURRENT).join(keys, ["_host", "_line"], "left_semi")
-    lines = parts.join(counts, ["_host", "_line"], "left").withColumn("_often", F.coalesce(F.col("n_rows"), F.lit(1)) >= RECURRENT)
+    often = line_counts(rows, host, text, page).filter(F.col("n_pages") >= RECURRENT).join(keys, ["_host", "_line"], "left_semi")
+    # a line that a third of all pages have is spread over parts, with the note that it recurs beside each
+    often = often.select("_host", "_line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_often"))
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    lines = salted.join(often, ["_host", "_line", "_salt"], "left").withColumn("_often", F.coalesce("_often", F.lit(False)))
     pages = lines.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("_no", "_raw", "_often"))).alias("_lines"))
     key_type = pages.schema["_key"].dataType.simpleString()
-    pages = pages.select("_key", F.col("_lines._raw").alias("_raws"), F.col("_lines._often").alias("_often"))
+    pages = pages.select("_key", F.col("_lines._raw").alias("_raws"), F.col("_lines._often").alias("_often"), F.col("_lines._no").alias("_nos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
-            for i, (raws, often) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                got = judge(raws, often)
+            for i, (raws, often, nos) in enumerate(zip(*[b.column(c).to_pylist() for c in (1, 2, 3)])):
+                lines, recurs = [""] * (nos[-1] + 1), [False] * (nos[-1] + 1)  # blank lines back in their places
+                for n, x, o in zip(nos, raws, often):
+                    lines[n], recurs[n] = x, o
+                got = judge(lines, recurs)
                 if any(got):
                     at.append(i)
                     out.append(got)

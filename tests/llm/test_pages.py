@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm.body import body_labels, body_text
-from rankweave.llm.cut import artificial, cut_rates, features, fit, score_cuts
+from rankweave.llm.cut import artificial, cut_rates, features, fit, prior_shift, score_cuts
+from rankweave.llm.lines import furniture_score, menu_share
 from rankweave.llm.mincut import furniture_lines, min_cut
 from rankweave.llm.residue import FILLER, MESSAGE, PLACEHOLDER, judge, line_marks, placeholders, residue_pages
 from rankweave.llm.screen import Screen
@@ -144,6 +145,23 @@ def test_screen_loses_no_match():
     assert line_marks(PROSE) == 0
 
 
+def test_captures_of_one_page_are_no_boilerplate(spark):
+    """A real text that mentions an error stays, however often its page was captured; a menu of three pages goes."""
+    real = PROSE + "\nIf the screen stays blank, enable JavaScript in the browser and reload."
+    rows = [(i, "a.example", "p", real) for i in range(6)] + [(10 + i, "b.example", f"p{i}", f"Nice menu words without any end {i}\nAccess denied. You have no permission.") for i in range(4)]
+    rows += [(20, "a.example", None, None), (21, "a.example", "p", "\n\n" + real), (22, "a.example", "q", "Buy {{" + "x" * 200 + "}} now.")]
+    df = spark.createDataFrame([(*r, "c", "d") for r in rows], "row_id long, site string, page string, content string, _line string, _often string")
+    got = {r["row_id"] for r in residue_pages(df, "row_id", "site", "content", F.col("page")).collect()}
+    assert got == {10, 11, 12, 13, 22}
+
+
+def test_length_changes_no_rule():
+    notice = "We use cookies and similar small files to measure visits, to remember your settings and to show adverts that fit. By going on you agree to this. You can accept all cookies, refuse them, or manage settings at any time."
+    told = "Its cookies jar lets you accept or refuse each tracker. " + " ".join([PROSE] * 3)
+    assert len(notice) > 180 and furniture_score(notice) > 1 and furniture_score(told) < -1
+    assert menu_share(" | ".join(["Home", "Blog", "Contact", "Sign up"] * 20)) > 0.9
+
+
 def test_residue_columns(spark):
     rows = [
         (1, "a.example", "Access denied. You don't have permission to open this address."), (2, "a.example", PROSE + "\nBuy {{product}} now."), (3, "a.example", PROSE), (4, "a.example", None), (5, "a.example", "  "), (6, None, "You need to enable JavaScript to run this app."), (7, "a.example", "Access denied. You don't have permission to open this address."), (8, "a.example", "x " * 100000 + "{{y}}"),
@@ -247,6 +265,17 @@ def test_held_out_accuracy():
     assert features("x", None, False, False) and fit([])[-1] < 0
 
 
+def test_prior_shift():
+    """Log-odds learned at one half are shifted to the share that the scores show."""
+    rnd = np.random.default_rng(2)
+    truth = rnd.random(40_000) < 0.05
+    x = rnd.normal(np.where(truth, 2.0, -2.0), 1.0)  # log-odds at one half: 4x
+    bins = [(z, int(c)) for z, c in zip(*np.unique(np.round(4 * x, 1), return_counts=True))]
+    share = 1 / (1 + np.exp(-prior_shift(bins, 0.5)))
+    assert abs(share - 0.05) < 0.005
+    assert prior_shift([], 0.5) == prior_shift(bins, 0.0) == 0.0
+
+
 def test_cut_columns(spark):
     texts = corpus(300)
     rows = [(i, f"p{i}", t, len(t)) for i, t in enumerate(texts)]
