@@ -153,14 +153,14 @@ def _host(host: str) -> Column:
 
 def _page(page: Column | None, text: str) -> Column:
     """A number for the page of a row: of its name, or of its text where it has none."""
-    own = F.xxhash64(F.col(text))
-    return own if page is None else F.coalesce(F.when(page.isNotNull(), F.xxhash64(page)), own)
+    return F.xxhash64(F.col(text) if page is None else F.coalesce(page, F.col(text)))
 
 
 def line_counts(rows: DataFrame, host: str, text: str, page: Column | None = None) -> DataFrame:
     """``_host``, ``_line`` (hashes) and ``n_pages``: distinct pages of a host with the line, over all rows; blank lines are left out."""
-    own = F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: F.xxhash64(masked(x))))
-    lines = rows.select(_host(host), _page(page, text).alias("_page"), F.explode(own).alias("_line")).filter(F.col("_line") != F.xxhash64(F.lit("")))
+    own = F.array_distinct(F.transform(F.split("_text", "\n"), lambda x: F.xxhash64(masked(x))))
+    each = rows.select(_host(host), _page(page, text).alias("_page"), F.col(text).alias("_text"))  # once a row, before there is a row a line
+    lines = each.select("_host", "_page", F.explode(own).alias("_line")).filter(F.col("_line") != F.xxhash64(F.lit("")))
     return lines.distinct().groupBy("_host", "_line").agg(F.count("*").alias("n_pages"))
 
 
