@@ -62,16 +62,18 @@ def entities(x: Column | str) -> Column:
 
 
 def item_name(x: Column | str) -> Column:
-    """STR8: the text before a dash or colon (2 to 80 characters), else the first three words."""
-    t = F.trim(_c(x))
-    head = F.trim(F.regexp_extract(t, r"^(.{2,80}?)\s*[–—:-]", 1))
-    return F.when(head != "", head).otherwise(F.array_join(F.slice(F.split(t, r"\s+"), 1, 3), " "))
+    """STR8: the text before the first dash or colon (2 to 80 characters, a space after the mark), else the first three words."""
+    t = F.coalesce(_c(x), F.lit(""))
+    head = F.trim(F.regexp_extract(t, r"^\s*([^—\-:]{2,80})\s*[—\-:]\s+", 1))
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.when(t.rlike(r"^\s*[^—\-:]{2,80}\s*[—\-:]\s+"), head).otherwise(F.array_join(F.slice(words, 1, 3), " "))
 
 
 def searched_for(x: Column | str) -> Column:
-    """STR9: the last "Searching ... for X" of a text, without quotes; '' if there is none."""
-    found = F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r"(?i)searching(?: the web)? for ([^\n]+)"), F.lit(1))
-    return F.regexp_replace(F.trim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))), "^[\"'“”‘’]+|[\"'“”‘’.…]+$", "")
+    """STR9: what follows the first "Searching for" or "Searched the web for" of a text, spaces squeezed, without quotes; '' if there is none."""
+    t = F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", " "))
+    found = F.trim(F.regexp_extract(t, r"(?i)(?:Searching|Searched)\s+(?:the\s+web\s+)?for\s+(.+)", 1))
+    return F.regexp_replace(found, "^[\"“”']+|[\"“”']+$", "")
 
 
 def query_key(x: Column | str) -> Column:
@@ -141,7 +143,7 @@ ITEMS = "array<struct<item_section_title:string,item_position:int,item_name:stri
 
 def items(x: Column | str) -> Column:
     """JSN2: items of an items cell."""
-    return F.coalesce(F.when(valid_json(x), F.from_json(_c(x), ITEMS)), F.array().cast(ITEMS))
+    return F.coalesce(F.when(valid_json(x) & _c(x).rlike(r"^\s*\["), F.from_json(_c(x), ITEMS)), F.array().cast(ITEMS))
 
 
 def classification(x: Column | str, names: tuple[str, ...]) -> Column:
@@ -181,25 +183,36 @@ def mean_size(a: Column | str) -> Column:
 # dates and numbers
 
 
+# The six forms of DAT1: pattern, and the groups of year, month and day. Hours are checked, the day is that of the value's own zone.
+_DATES = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", (3, 2, 1)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2)),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})T(?:2[0-3]|[01]?\d):[0-5]?\d:(?:6[01]|[0-5]?\d)(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?[0-5]\d(?::?[0-5]\d)?)$", (1, 2, 3)),
+)
+
+
 def iso_date(x: Column | str) -> Column:
-    """DAT1: a date in one of six formats, as ``yyyy-MM-dd``; NULL if none fits."""
-    s = F.trim(_c(x))
-    formats = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM d, yyyy", "MMM d, yyyy")
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats], F.try_to_timestamp(F.regexp_extract(s, r"(20\d\d[-/]\d{1,2}[-/]\d{1,2})", 1), F.lit("yyyy-M-d")))
-    return F.date_format(parsed, "yyyy-MM-dd")
+    """DAT1: a date in one of six formats, as ``yyyy-MM-dd``; '' if none fits. The study's seventh step never matches, so there is none here."""
+    s = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"^\s+|\s+$", "")
+    ymd = F.lit(None).cast("string")
+    for pattern, order in reversed(_DATES):
+        ymd = F.when(s.rlike(pattern), F.concat_ws("-", *[F.regexp_extract(s, pattern, g) for g in order])).otherwise(ymd)
+    return F.coalesce(F.date_format(F.try_to_timestamp(ymd, F.lit("y-M-d")), "yyyy-MM-dd"), F.lit(""))
 
 
 def iso_or_raw(x: Column | str) -> Column:
     """DAT2: ISO-like values stay; others become ISO if they can be read, else stay."""
     s = F.trim(_c(x))
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s).otherwise(F.coalesce(F.concat(iso_date(s), F.lit("T00:00:00.000Z")), s))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s).otherwise(F.coalesce(F.concat(F.nullif(iso_date(s), F.lit("")), F.lit("T00:00:00.000Z")), s))
 
 
 def syllables(word: Column | str) -> Column:
-    """MTH1: groups of vowels, less a silent e; at least one."""
-    w = F.lower(_c(word))
-    silent = (w.rlike("[^aeiouyl]e$") & (F.length(w) > 2)).cast("int")
-    return F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")) - silent, F.lit(1))
+    """MTH1: groups of vowels among the letters, less one for a final e where there are more; at least one, 0 without letters."""
+    w = F.regexp_replace(F.lower(_c(word)), "[^a-z]", "")
+    groups = F.regexp_count(w, F.lit("[aeiouy]+"))
+    return F.when(w == "", 0).otherwise(F.greatest(groups - (w.endswith("e") & (groups > 1)).cast("int"), F.lit(1)))
 
 
 def reading_ease(text: Column | str) -> Column:

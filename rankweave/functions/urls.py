@@ -143,21 +143,30 @@ def url_key10(url: Column | str) -> Column:
     return F.when(_text(url) == "", F.lit("")).otherwise(F.concat(F.regexp_replace(_part(full, 1), r"^www\.", ""), F.regexp_replace(_part(full, 2), "/+$", "")))
 
 
-def clean_url(url: Column | str, drop: tuple[str, ...] = (*ALL_TRACKING, "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")) -> Column:
-    """URL11: the url as it is, without the named parameters."""
-    raw = _text(url)
+# Parameters that the saved-page tools delete.
+LINK_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source")
+
+
+def clean_url(url: Column | str, drop: tuple[str, ...] = LINK_TRACKING) -> Column:
+    """URL11: a web url without the named parameters; anything else as it is."""
+    raw = F.coalesce(_c(url), F.lit(""))
     head, query, mark = F.regexp_extract(raw, r"^([^?#]*)", 1), F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1), F.regexp_extract(raw, r"(#.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.lower(F.split_part(kv, F.lit("="), F.lit(1))).isin(*drop)), "&")
-    return F.concat(head, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")), mark)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.split_part(kv, F.lit("="), F.lit(1)).isin(*drop)), "&")
+    return F.when(raw.startswith("http"), F.concat(head, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")), mark)).otherwise(raw)
 
 
 def decode_any(url: Column | str) -> Column:
-    """URL13: a redirect target in any of its encodings: plain, base64 after 0 to 4 marks, hex; else NULL."""
-    value = F.regexp_extract(_text(url), r"[?&]u=([^&#]*)", 1)
-    web = lambda c: F.when(c.rlike("^https?://"), c)
-    plain = web(F.try_url_decode(value))
-    coded = [web(F.try_to_binary(F.translate(F.substring(value, n + 1, 100000), "-_", "+/"), F.lit("base64")).cast("string")) for n in (2, 1, 3, 4, 0)]
-    return F.coalesce(plain, *coded, web(F.try_to_binary(value, F.lit("hex")).cast("string")))
+    """URL13: the target of a bing redirect in any of its encodings: plain, base64 after the mark ``a1`` or after one to four
+    other marks, hex, then base64 in the path; cleaned; NULL for other urls and where there is none."""
+    raw = _text(url)
+    value = F.regexp_extract(raw, r"[?&]u=([^&#]*)", 1)
+    web = lambda c: F.when(c.startswith("http"), c)
+    coded = lambda c: web(F.try_to_binary(F.translate(c, "-_", "+/"), F.lit("base64")).cast("string"))
+    marked = F.when(value.startswith("a1"), coded(F.substring(value, 3, 1 << 30))).otherwise(F.coalesce(*[coded(F.substring(value, n + 1, 1 << 30)) for n in (1, 2, 3, 4, 0)]))
+    digits = F.when(value.rlike("^[0-9a-fA-F]+$"), F.try_to_binary(value, F.lit("hex")).cast("string"))
+    in_path = F.coalesce(F.try_url_decode(F.regexp_extract(raw, r"/(?:aclick|ck)/.*?u=([^&]+)", 1)), F.lit(""))
+    found = F.coalesce(web(F.try_url_decode(value)), marked, F.when(F.contains(digits, F.lit("http")), digits), coded(F.regexp_replace(in_path, "^a1", "")), web(in_path))
+    return F.when(F.contains(raw, F.lit("bing.com")) & found.isNotNull(), clean_url(found))
 
 
 def short_hash(key: Column | str) -> Column:
@@ -166,8 +175,9 @@ def short_hash(key: Column | str) -> Column:
 
 
 def urls_in(text: Column | str) -> Column:
-    """URL15: distinct http(s) urls of free text, closing punctuation cut."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"(https?://[^\s<>\"']+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+$", "")))
+    """URL15: distinct http(s) urls of free text, up to a blank, quote or closing bracket, closing punctuation cut, cleaned."""
+    found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"(?i)(https?://[^\s<>\"')\]]+)"), F.lit(1))
+    return F.filter(F.array_distinct(F.transform(found, lambda u: clean_url(F.regexp_replace(u, r"[.,;:!?]+$", "")))), lambda u: u != "")
 
 
 def domain1(url: Column | str) -> Column:
@@ -224,8 +234,8 @@ def domain9(url: Column | str) -> Column:
 
 
 def domain10(url: Column | str) -> Column:
-    """DOM10: store prefixes are cut one after the other, each where it then stands first."""
-    d = F.regexp_replace(domain7(url), r"^www\.", "")
+    """DOM10: host with port; store prefixes are cut one after the other, each where it then stands first."""
+    d = domain1(url)
     for p in ("apps.", "play.", "chrome.", "itunes.", "microsoft.", "addons."):
         d = F.when(d.startswith(p), F.substring(d, len(p) + 1, 10000)).otherwise(d)
     return d

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import unfenced
+from rankweave.functions.text import unfenced, valid_json
 from rankweave.operators.setops import first_wins, latest_wins
 
 RESPONSE = (
@@ -26,7 +26,8 @@ def best_text(sources: list[tuple[DataFrame, str]], key: str, columns: list[str]
 
 def parsed_responses(log: DataFrame, response: str) -> DataFrame:
     """LLM2: adds ``label``, the answer as a struct; NULL if it is not readable."""
-    return log.withColumn("label", F.from_json(unfenced(response), RESPONSE))
+    text = unfenced(response)
+    return log.withColumn("label", F.when(valid_json(text), F.from_json(text, RESPONSE)))
 
 
 def label_tables(log: DataFrame, url: str, response: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -50,9 +51,9 @@ def failures(log: DataFrame) -> DataFrame:
 
 
 def to_label_int(x: Column) -> Column:
-    """LLM7: booleans are 0 or 1, numbers are cut to whole ones, the rest is NULL."""
-    low = F.lower(F.trim(x.cast("string")))
-    return F.when(low.isin("true", "yes"), 1).when(low.isin("false", "no"), 0).otherwise(low.try_cast("double").try_cast("int"))
+    """LLM7: booleans are 0 or 1, numbers and their texts are cut to whole ones, the rest (also the text "true") is NULL."""
+    text = F.trim(x.cast("string"))
+    return F.when(F.typeof(x) == "boolean", (text == "true").cast("int")).otherwise(text.try_cast("double").try_cast("int"))
 
 
 def unlabelled(urls: DataFrame, done: DataFrame, failed: DataFrame | None, key: str) -> DataFrame:

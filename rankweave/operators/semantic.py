@@ -122,6 +122,15 @@ def pair_overlap(lists: DataFrame, group: str, list_id: str, vectors: str, thres
     return lists.select(group).distinct().join(m, group, "left").fillna(0, ["n_pairs"])
 
 
+def blocked(a: DataFrame, a_keys: list[str], b: DataFrame, b_keys: list[str], blocks: int = 8) -> DataFrame:
+    """Every row of ``a`` beside every row of ``b``, in ``blocks`` times ``blocks`` tasks: where the result is a matrix."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    part = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
+    x = a.withColumn("_bi", part(a_keys)).withColumn("_bj", every)
+    y = b.withColumn("_bj", part(b_keys)).withColumn("_bi", every)
+    return x.join(y, ["_bi", "_bj"]).drop("_bi", "_bj")
+
+
 def cross_overlap(lists: DataFrame, group: str, list_id: str, vectors: str, threshold: float = 0.85, within: str | None = None) -> DataFrame:
     """XR3, XR5: mean of OVL3 over all lists of one group by all lists of another, the whole matrix.
 
@@ -130,10 +139,9 @@ def cross_overlap(lists: DataFrame, group: str, list_id: str, vectors: str, thre
     """
     i, j = f"{group}_i", f"{group}_j"
     same = [within] if within else []
-    spread = 2 * lists.sparkSession.sparkContext.defaultParallelism  # the lists are small, their pairs are the work
-    a = lists.select(F.col(group).alias(i), F.col(list_id).alias("_i"), F.col(vectors).alias("_a"), *same).repartition(spread, F.xxhash64(i, "_i"))
-    b = lists.select(F.col(group).alias(j), F.col(vectors).alias("_b"), *same)
-    p = (a.join(b, within) if within else a.crossJoin(b)).filter(F.col(i) <= F.col(j)).withColumn("v", overlap_udf(threshold)("_a", "_b"))
+    a = lists.select(F.col(group).alias(i), F.col(list_id).alias("_i"), F.col(vectors).alias("_a"), *same)
+    b = lists.select(F.col(group).alias(j), F.col(list_id).alias("_j"), F.col(vectors).alias("_b"), *same)
+    p = (a.join(b, within) if within else blocked(a, [i, "_i"], b, [j, "_j"])).filter(F.col(i) <= F.col(j)).withColumn("v", overlap_udf(threshold)("_a", "_b"))
     m = p.groupBy(i, j).agg(F.count("*").alias("n_pairs"), F.avg("v").alias("mean"))
     cell = F.explode(F.array_distinct(F.array(F.struct(F.col(i).alias("i"), F.col(j).alias("j")), F.struct(F.col(j).alias("i"), F.col(i).alias("j")))))
     m = m.select(cell.alias("_c"), "n_pairs", "mean").select(F.col("_c.i").alias(i), F.col("_c.j").alias(j), "n_pairs", "mean")

@@ -18,11 +18,20 @@ def checks(df: DataFrame, name: str, key: str, url: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{name}."), F.lit(c)).alias("check"), F.col(c).cast("bigint").alias("value"), r.alias("ok")) for c, r in rule.items()])).alias("c")).select("c.*")
 
 
+# The reasons, and the words from which a page is not thin.
+UNREACHABLE, THIN, FIRST, PANEL, LATER, FAILED = (
+    "Skipped (Manual unreachable)", "Failed: Thin Content (<100 words)", "Pending Fetch (High Priority)", "Side-Panel Only (Skipped)", "Pending Fetch (Uncategorized)", "Failed: Fetch Error (403/429/Timeout)",
+)
+THIN_WORDS = 100
+
+
 def missing_reason(df: DataFrame) -> DataFrame:
-    """MRG18: why a page has no usable text, first reason that holds: columns content, contentError, js_render_suspected, url."""
-    text, err = F.trim(F.coalesce("content", F.lit(""))), F.lower(F.trim(F.coalesce("contentError", F.lit(""))))
-    reason = (
-        F.when(F.length(text) >= 200, "present").when(F.trim(F.coalesce("url", F.lit(""))) == "", "no url").when(~err.isin("", "nan"), "fetch error")
-        .when(F.lower(F.coalesce("js_render_suspected", F.lit(""))) == "true", "needs scripts").when(text != "", "too short").otherwise("not fetched")
-    )
-    return df.withColumn("missing_reason", reason)
+    """MRG18: why a page has no usable text; '' if it has.
+
+    Columns: existing_reason, has_content, word_count, attempted, and the memberships is_inline, is_ranked, is_additional.
+    """
+    c = lambda n: F.coalesce(F.col(n), F.lit(False))
+    wanted = c("is_inline") | c("is_ranked")
+    without = F.when(~c("attempted"), F.when(wanted, FIRST).when(c("is_additional"), PANEL).otherwise(LATER)).when(c("is_additional") & ~wanted, PANEL).otherwise(FAILED)
+    with_text = F.when(wanted & (F.coalesce("word_count", F.lit(0)) < THIN_WORDS), THIN).otherwise("")
+    return df.withColumn("missing_reason", F.when(F.trim(F.coalesce("existing_reason", F.lit(""))) == UNREACHABLE, UNREACHABLE).when(c("has_content"), with_text).otherwise(without))

@@ -62,13 +62,34 @@ def sql_full(u: str) -> str:
     return f"CASE WHEN contains({t}, '://') THEN {t} ELSE 'https://' || {t} END"
 
 
-def sql_key(u: str) -> str:
-    """URL2."""
+def sql_key(u: str, drop: str = _DROP, port: bool = True, microsoft: bool = False) -> str:
+    """URL2, and with other parameters URL3 to URL6."""
     name = _dec("split_part(kv, '=', 1)")
-    query = f"array_to_string(list_transform(list_filter(string_split(regexp_extract(f, '{_P}', 3), '&'), lambda kv: kv <> '' AND NOT starts_with(lower({name}), 'utm_') AND lower({name}) NOT IN ({_DROP})), lambda kv: {_enc('''split_part(kv, '=', 1)''')} || '=' || {_enc('''regexp_extract(kv, '=(.*)$', 1)''')}), '&')"
-    path = f"CASE WHEN regexp_extract(f, '{_P}', 2) = '' THEN '/' WHEN length(regexp_extract(f, '{_P}', 2)) > 1 THEN regexp_replace(regexp_extract(f, '{_P}', 2), '/$', '') ELSE regexp_extract(f, '{_P}', 2) END"
     host = rf"regexp_replace(lower(regexp_extract(f, '{_P}', 1)), '^www\.', '')"
-    return f"CASE WHEN {sql_text(u)} = '' THEN '' ELSE ltrim(list_transform([{sql_full(u)}], lambda f: {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END)[1], '/') END"
+    if not port:
+        host = rf"regexp_replace(regexp_replace({host}, '^[^@]*@', ''), ':\d+$', '')"
+    store = f" AND NOT ({host} = 'apps.microsoft.com' AND lower({name}) IN ('hl', 'gl'))" if microsoft else ""
+    query = f"array_to_string(list_transform(list_filter(string_split(regexp_extract(f, '{_P}', 3), '&'), lambda kv: kv <> '' AND NOT starts_with(lower({name}), 'utm_') AND lower({name}) NOT IN ({drop}){store}), lambda kv: {_enc('''split_part(kv, '=', 1)''')} || '=' || {_enc('''regexp_extract(kv, '=(.*)$', 1)''')}), '&')"
+    path = f"CASE WHEN regexp_extract(f, '{_P}', 2) = '' THEN '/' WHEN length(regexp_extract(f, '{_P}', 2)) > 1 THEN regexp_replace(regexp_extract(f, '{_P}', 2), '/$', '') ELSE regexp_extract(f, '{_P}', 2) END"
+    key = f"list_transform([{sql_full(u)}], lambda f: {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END)[1]"
+    stripped = f"ltrim({key}, '/')" if port else key
+    return f"CASE WHEN {sql_text(u)} = '' THEN '' ELSE {stripped} END"
+
+
+def sql_part(u: str, n: int) -> str:
+    return f"regexp_extract({u}, '{_P}', {n})"
+
+
+def sql_key8(u: str) -> str:
+    """URL8."""
+    t = f"lower({sql_text(u)})"
+    return rf"regexp_replace(regexp_replace(CASE WHEN contains({t}, '://') THEN split_part({t}, '://', 2) ELSE {t} END, '^www\.', ''), '/$', '')"
+
+
+def sql_literal(c: str) -> str:
+    """ARR1: the strings of a Python list literal."""
+    quoted = r"""(?:'''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*")""".replace("'''", "''", 1)
+    return rf"list_transform(regexp_extract_all(CASE WHEN starts_with({c}, '[') AND ends_with({c}, ']') THEN {c} ELSE '' END, '{quoted}'), lambda x: regexp_replace(substr(x, 2, length(x) - 2), '\\(.)', '\1', 'g'))"
 
 
 def sql_domain(u: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import canonical_run_id
+from rankweave.functions.text import canonical_run_id, word_count
 from rankweave.functions.urls import domain1, domain10, url_key2
 from rankweave.operators import html as H
 from rankweave.operators import merge as M
@@ -13,7 +13,7 @@ from rankweave.operators.flatten import inline_citations, panel_citations
 from rankweave.operators.labels import best_text, latest_labels
 from rankweave.operators.overlap import named_matches
 from rankweave.operators.saved_pages import html_items, result_rows, source_rows
-from rankweave.operators.semantic import VECTORS, cross_overlap, overlap_udf, pair_overlap, system_overlap, top_semantic
+from rankweave.operators.semantic import VECTORS, blocked, cross_overlap, overlap_udf, pair_overlap, system_overlap, top_semantic
 from rankweave.operators.setops import first_wins, latest_wins, top_k
 from rankweave.operators.stats import average_ranks, formatted_p, kruskal_wallis, mann_whitney_pairs
 from rankweave.operators.validate import checks, missing_reason
@@ -155,12 +155,21 @@ def mrg_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT missing_reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(coalesce(content, ''))) >= 200 THEN 'present' WHEN trim(coalesce(url, '')) = '' THEN 'no url' WHEN lower(trim(coalesce(contentError, ''))) NOT IN ('', 'nan') THEN 'fetch error'
- WHEN lower(coalesce(js_render_suspected, '')) = 'true' THEN 'needs scripts' WHEN trim(coalesce(content, '')) <> '' THEN 'too short' ELSE 'not fetched' END AS missing_reason FROM serp_export) GROUP BY 1"""
+    rf"""WITH {CITATIONS}, {SERP}, r AS (SELECT key, max(coalesce(content_words, 0)) AS words, bool_or(content_words IS NOT NULL) AS has_content, bool_or(captured_at IS NOT NULL) AS attempted FROM
+ (SELECT s.key, e.captured_at, CASE WHEN trim(coalesce(e.content, '')) <> '' THEN len(regexp_extract_all(e.content, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')) END AS content_words FROM serp s JOIN serp_export e USING (row_id)) GROUP BY 1),
+c AS (SELECT key, bool_or(section = 'cited') AS is_inline, bool_or(section = 'additional') AS is_additional FROM citations GROUP BY 1),
+p AS (SELECT key, r.key IS NOT NULL AS is_ranked, coalesce(is_inline, false) AS is_inline, coalesce(is_additional, false) AS is_additional, coalesce(has_content, false) AS has_content, coalesce(words, 0) AS words, coalesce(attempted, false) AS attempted FROM r FULL JOIN c USING (key))
+SELECT missing_reason, count(*) AS n FROM (SELECT CASE WHEN has_content THEN CASE WHEN (is_inline OR is_ranked) AND words < 100 THEN 'Failed: Thin Content (<100 words)' ELSE '' END
+ WHEN NOT attempted THEN CASE WHEN is_inline OR is_ranked THEN 'Pending Fetch (High Priority)' WHEN is_additional THEN 'Side-Panel Only (Skipped)' ELSE 'Pending Fetch (Uncategorized)' END
+ WHEN is_additional AND NOT is_inline AND NOT is_ranked THEN 'Side-Panel Only (Skipped)' ELSE 'Failed: Fetch Error (403/429/Timeout)' END AS missing_reason FROM p) GROUP BY 1"""
 )
 def mrg_missing_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """MRG18, MRG23: why pages have no usable text."""
-    return missing_reason(table(spark, sf, "serp_export")).groupBy("missing_reason").agg(F.count("*").alias("n"))
+    """MRG18, MRG23: why pages have no usable text: all pages that are ranked or cited, with the words of their longest text."""
+    text = table(spark, sf, "serp_export").select("row_id", "captured_at", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", word_count("content")).alias("_words"))
+    ranked = serp(spark, sf).select("row_id", "key").join(text, "row_id").groupBy("key").agg(F.max("_words").alias("word_count"), F.max(F.col("_words").isNotNull()).alias("has_content"), F.max(F.col("captured_at").isNotNull()).alias("attempted"), F.lit(True).alias("is_ranked"))
+    cited = citations(spark, sf).groupBy("key").agg(F.max(F.col("section") == "cited").alias("is_inline"), F.max(F.col("section") == "additional").alias("is_additional"))
+    pages = ranked.join(cited, "key", "full").withColumn("existing_reason", F.lit(None).cast("string"))
+    return missing_reason(pages).groupBy("missing_reason").agg(F.count("*").alias("n"))
 
 
 _CHECK = """{t}_k AS (SELECT trim(coalesce({k}, '')) AS k, count(*) AS n, count(*) FILTER (contains(coalesce(url, ''), '/ck/a')) AS r FROM {t} GROUP BY 1), {t}_c AS (SELECT coalesce(sum(n), 0)::BIGINT AS rows, coalesce(sum(n) FILTER (k = ''), 0)::BIGINT AS blank, count(*) FILTER (k <> '' AND n > 1) AS dup, coalesce(sum(r), 0)::BIGINT AS red FROM {t}_k)"""
@@ -253,14 +262,15 @@ def _html(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def htm_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """HTM6, HTM7, HTM7b, JSN6: metadata of every page by both priority orders."""
-    return _html(spark, sf).select("row_id", H.html_metadata("html").alias("a"), H.html_metadata_og("html").alias("b")).select("row_id", "a.*", F.col("b.title").alias("og_title"), F.col("b.published").alias("og_published"))
+    """HTM6, HTM7, HTM7b, JSN6: metadata of every page by both priority orders, and as rendered."""
+    d = _html(spark, sf).select("row_id", H.html_metadata("html").alias("a"), H.html_metadata_og("html").alias("b"), H.html_metadata_rendered("html").alias("c"))
+    return d.select("row_id", "a.*", F.col("b.title").alias("og_title"), F.col("b.published").alias("og_published"), F.col("c.js_render_suspected").alias("rendered_js"))
 
 
 @query()
 def htm_text(spark: SparkSession, sf: str) -> DataFrame:
-    """HTM1, HTM2, HTM5: text of every page by its structure, with and without the class rules."""
-    return _html(spark, sf).select("row_id", F.md5(H.html_text("html")).alias("text_md5"), F.length(H.html_text_plain("html")).alias("plain_length"))
+    """HTM1, HTM2, HTM5: text of every page by its structure, by whole class names, parts of names, and without."""
+    return _html(spark, sf).select("row_id", F.md5(H.html_text("html")).alias("text_md5"), F.length(H.html_text_parts("html")).alias("parts_length"), F.length(H.html_text_plain("html")).alias("plain_length"))
 
 
 @query(
@@ -272,12 +282,28 @@ def htm_stripped(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "serp_export").select("row_id", F.length(H.stripped(c)).alias("stripped_length"), H.has_table(c).alias("has_table"))
 
 
-@query()
+_SQL_ESC = lambda c: f"replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
+_SQL_PAGE = (
+    f"""'<html><head><title>' || {_SQL_ESC("page_title")} || '</title><meta name="description" content="' || {_SQL_ESC("meta_description")} || '"><link rel="canonical" href="' || {_SQL_ESC("canonical_url")} || '"><meta property="article:published_time" content="' || {_SQL_ESC("published_date")}"""
+    f""" || '"><script>var a = "<b>";</script></head><body><nav class="menu"><a href="/">Home</a></nav>' || CASE WHEN lower(has_table) = 'true' THEN '<table><tr><td>1</td></tr></table>' ELSE '' END || array_to_string(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: '<p>' || {_SQL_ESC("x")} || '</p>'), '') || '<div class="cookie footer">x</div></body></html>'"""
+)
+_SQL_WORDS = " + ".join(f"contains(h, '{w}')::INT" for w in ("comparison", "compare", "vs", "price", "pricing", "rating", "score", "features", "feature", "pros", "cons", "best for"))
+
+
+@query(
+    rf"""WITH p AS (SELECT row_id, coalesce(content, '') AS content, {_SQL_PAGE} AS html FROM serp_export), q AS (SELECT *, lower(html) AS h, lower(content) AS t FROM p), w AS (SELECT *, {_SQL_WORDS} AS w FROM q)
+SELECT row_id, contains(h, 'type="application/ld+json"') OR (contains(h, 'itemscope') AND contains(h, 'itemtype')) OR (contains(h, 'typeof=') AND contains(h, 'property=')) AS has_schema_markup,
+ CASE WHEN contains(h, '<table') THEN round(least(1.0::DOUBLE, CASE WHEN len(regexp_extract_all(h, '<tr')) >= 6 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(h, '<th')) >= 4 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN w >= 4 THEN 0.35::DOUBLE WHEN w >= 2 THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(h, '(?:class|id)=["''][^"'']*(?:comparison|compare|vs|pricing[-_ ]table)[^"'']*["'']') THEN 0.25::DOUBLE ELSE 0 END), 2) ELSE 0.0::DOUBLE END AS comparison_score,
+ round(CASE WHEN instr(t, 'pros') > 0 AND instr(t, 'cons') > 0 AND abs(instr(t, 'pros') - instr(t, 'cons')) <= 250 THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(h, '(?:class|id)=["''][^"'']*(?:pros|cons)[^"'']*["'']') THEN 0.2::DOUBLE ELSE 0 END, 2) AS pros_cons_score,
+ length(trim(regexp_replace(content, '\s+', ' ', 'g'))) < 400 AND (contains(html, '__NEXT_DATA__') OR contains(html, 'data-reactroot') OR contains(html, 'id="app"') OR contains(html, 'id="root"') OR contains(html, 'window.__INITIAL_STATE__') OR contains(html, 'webpackJsonp') OR contains(html, 'ng-version')) AS js_suspected,
+ length(content) > 12000 AS content_truncated, '' AS freshness FROM w"""
+)
 def htm_features(spark: SparkSession, sf: str) -> DataFrame:
     """HTM9 to HTM13, HTM17, DAT3: structural features and scores of every page."""
     h = F.col("html")
     return _html(spark, sf).select(
-        "row_id", H.has_schema_markup(h).alias("has_schema_markup"), H.comparison_score(h).alias("comparison_score"), H.pros_cons_score(h).alias("pros_cons_score"), H.js_suspected(F.coalesce("content", F.lit("")), h).alias("js_suspected"),
+        "row_id", H.has_schema_markup(h).alias("has_schema_markup"), H.comparison_score(h).alias("comparison_score"), H.pros_cons_score(h, F.col("content")).alias("pros_cons_score"), H.js_suspected(F.coalesce("content", F.lit("")), h).alias("js_suspected"),
         H.capped(F.coalesce("content", F.lit("")), 12000)["content_truncated"].alias("content_truncated"), H.freshness(h).alias("freshness"),
     )
 
@@ -418,8 +444,8 @@ def clu_top(spark: SparkSession, sf: str) -> DataFrame:
 def xr_cqopo(spark: SparkSession, sf: str) -> DataFrame:
     """XR7, XR10: agreement of two labels on their largest clusters, of all vectors of a label."""
     top = top_semantic(table(spark, sf, "embeddings"), "label", "vec_id", "vec_id", "embedding", 5, 0.3).withColumn("vec_id", F.col("name").cast("bigint"))
-    v = top.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "embedding"))).alias("v")).select("label", F.col("v.embedding").cast(VECTORS).alias("v"), F.lit(0).alias("_g"))
-    p = v.join(v.select(F.col("label").alias("label_j"), F.col("v").alias("w"), "_g"), "_g").filter("label < label_j")  # labels by labels
+    v = top.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "embedding"))).alias("v")).select("label", F.col("v.embedding").cast(VECTORS).alias("v"))
+    p = blocked(v, ["label"], v.select(F.col("label").alias("label_j"), F.col("v").alias("w")), ["label_j"]).filter("label < label_j")  # labels by labels
     return p.select("label", "label_j", F.round(overlap_udf(0.3)("v", "w"), 6).alias("cqopo"))
 
 

@@ -10,7 +10,7 @@ from rankweave.functions.text import literal_list, percentage
 from rankweave.functions.urls import domain4, domain11, url_key8
 from rankweave.operators.overlap import BUCKETS, best_rank_match, bucket_overlap, overlap_stats, rank_biased, simpson
 from rankweave.operators.setops import cleaned, first_wins, position_of, renumbered, top_k
-from rankweave.plans.base import CITATIONS, DEEP, PLATFORM_SQL, PLATFORMS, SERP, citations, deep, runs, serp, sql_run
+from rankweave.plans.base import CITATIONS, DEEP, PLATFORM_SQL, PLATFORMS, RUNS, SERP, citations, deep, runs, serp, sql_domain, sql_key8, sql_literal, sql_part, sql_run
 from rankweave.session import table
 
 QUERIES: dict = {}
@@ -62,7 +62,19 @@ def ovl_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query()
+_Q = "lower(trim(coalesce(generated_search_query, '')))"
+_WEB = "CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://' || url END"
+
+
+@query(
+    rf"""WITH {RUNS}, u AS (SELECT run_id, generated_search_query AS query, {_Q} AS q, {sql_literal("coalesce(sources_cited, '')")} AS us FROM runs WHERE {_Q} NOT IN ('', 'nan', 'n/a')),
+c AS (SELECT run_id, query, q, {sql_key8("url")} AS key, lower(regexp_replace({sql_part(_WEB, 1)}, '^www\.', '')) AS domain FROM (SELECT run_id, query, q, unnest(us) AS url FROM u)),
+s AS (SELECT lower(trim(query)) AS q, {sql_key8("url")} AS key, replace(coalesce(domain, ''), 'www.', '') AS domain, coalesce(CASE WHEN regexp_matches(trim("position"), '^[+-]?\d+$') THEN try_cast(trim("position") AS INTEGER) END, 1000000000) AS p FROM serp_export),
+k AS (SELECT q, key, min(p) AS kp FROM s GROUP BY 1, 2), d AS (SELECT q, domain, min(p) AS dp FROM s GROUP BY 1, 2),
+m AS (SELECT c.run_id, c.query, CASE WHEN kp IS NOT NULL THEN 'exact' WHEN dp IS NOT NULL THEN 'domain' ELSE 'none' END AS match, coalesce(kp, dp) AS r FROM c LEFT JOIN k USING (q, key) LEFT JOIN d USING (q, domain) WHERE c.q IN (SELECT q FROM s WHERE q IS NOT NULL))
+SELECT run_id, query, count(*) AS total_citations, count(*) FILTER (match = 'exact') AS exact_matches, count(*) FILTER (match = 'domain') AS domain_matches, round(100.0 * count(*) FILTER (match = 'exact') / count(*), 6) AS exact_match_pct, round(100.0 * count(*) FILTER (match <> 'none') / count(*), 6) AS domain_match_pct,
+ coalesce(round(avg(r), 6), 0.0) AS avg_rank, {", ".join(f"round(100.0 * count(*) FILTER (r <= {k}) / count(*), 6) AS top{k}_match_pct" for k in (1, 3, 5, 10))} FROM m GROUP BY 1, 2"""
+)
 def ovl_run_match(spark: SparkSession, sf: str) -> DataFrame:
     """OVL7 (URL8, DOM4, DOM11, ARR1, STR10, MTH3): exact, else domain match of each citation, ranks and shares per run.
 
@@ -77,19 +89,24 @@ def ovl_run_match(spark: SparkSession, sf: str) -> DataFrame:
     share = lambda c: F.round(percentage(F.count_if(c), n), 6)
     return m.groupBy("run_id", "query").agg(
         n.alias("total_citations"), F.count_if(F.col("match") == "exact").alias("exact_matches"), F.count_if(F.col("match") == "domain").alias("domain_matches"), share(F.col("match") == "exact").alias("exact_match_pct"), share(F.col("match") != "none").alias("domain_match_pct"),
-        F.coalesce(F.round(F.avg("best_rank"), 6), F.lit(0.0)).alias("avg_rank"), *[share(F.col("best_rank") <= k).alias(f"top{k}_match_pct") for k in (1, 3, 10)],
+        F.coalesce(F.round(F.avg("best_rank"), 6), F.lit(0.0)).alias("avg_rank"), *[share(F.col("best_rank") <= k).alias(f"top{k}_match_pct") for k in (1, 3, 5, 10)],
     )
 
 
 @query(
-    f"""WITH {CITATIONS}, {SERP}, best AS (SELECT run_id, domain, arg_min("position", row_id) AS p FROM serp GROUP BY 1, 2)
-SELECT c.run_id, c.domain, count(*) AS n_citations, coalesce(any_value(b.p)::VARCHAR, 'Not in results') AS first_rank FROM citations c LEFT JOIN best b USING (run_id, domain) GROUP BY 1, 2"""
+    rf"""WITH {CITATIONS}, q AS (SELECT run_id, {_Q} AS q FROM runs WHERE {_Q} NOT IN ('', 'nan', 'n/a')),
+s AS (SELECT lower(trim(query)) AS q, {sql_domain("url")} AS domain, coalesce(CASE WHEN regexp_matches(trim("position"), '^[+-]?\d+$') THEN try_cast(trim("position") AS INTEGER) END, 1000000000) AS p, row_id FROM serp_export WHERE trim(coalesce(url, '')) <> '' AND query IS NOT NULL),
+best AS (SELECT q, domain, arg_min(p, row_id) AS p FROM s GROUP BY 1, 2)
+SELECT c.run_id, c.domain, count(*) AS n_citations, coalesce(any_value(b.p)::VARCHAR, 'Not in Top 10') AS first_rank FROM citations c JOIN q USING (run_id) LEFT JOIN best b USING (q, domain) WHERE c.section = 'cited' AND q.q IN (SELECT q FROM s) GROUP BY 1, 2"""
 )
 def ovl_domain_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """OVL8: rank of the first result (in file order) of each cited domain."""
-    best = serp(spark, sf).groupBy("run_id", "domain").agg(F.min_by("position", "row_id").alias("p"))
-    c = citations(spark, sf).groupBy("run_id", "domain").agg(F.count("*").alias("n_citations"))
-    return c.join(best, ["run_id", "domain"], "left").select("run_id", "domain", "n_citations", F.coalesce(F.col("p").cast("string"), F.lit("Not in results")).alias("first_rank"))
+    """OVL8: of each domain a run cites, the rank of the first result (in file order) that its query has from it; runs whose query has no results are left out."""
+    q = F.lower(F.trim(F.coalesce("generated_search_query", F.lit(""))))
+    asked = runs(spark, sf).filter(~q.isin("", "nan", "n/a")).select("run_id", q.alias("q"))
+    s = serp(spark, sf).filter("query IS NOT NULL").withColumn("q", F.lower(F.trim("query")))
+    best = s.groupBy("q", "domain").agg(F.min_by("position", "row_id").alias("p"))
+    c = citations(spark, sf).filter("section = 'cited'").groupBy("run_id", "domain").agg(F.count("*").alias("n_citations")).join(asked, "run_id").join(s.select("q"), "q", "left_semi")
+    return c.join(best, ["q", "domain"], "left").select("run_id", "domain", "n_citations", F.coalesce(F.col("p").cast("string"), F.lit("Not in Top 10")).alias("first_rank"))
 
 
 def _key_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +168,13 @@ def xr_csmso(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("prompt_id").agg(F.count("*").alias("n_runs"), F.round(F.avg("v"), 9).alias("csmso_mean"), F.round(F.stddev_pop("v"), 9).alias("csmso_std"))
 
 
-@query()
+@query(
+    f"""WITH {CITATIONS}, {SERP}, c AS (SELECT run_id, list(key ORDER BY p) AS a FROM (SELECT run_id, key, min(cite_position) AS p FROM citations WHERE section = 'cited' GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY "position", row_id) AS p FROM serp), b AS (SELECT run_id, list(key ORDER BY p) AS b FROM (SELECT run_id, key, min(p) AS p FROM f GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT run_id, len(a) AS n, len(b) AS m, least(len(a), len(b)) AS s, greatest(len(a), len(b)) AS l, list_transform(list_intersect(a, b), lambda e: greatest(list_position(a, e), list_position(b, e))) AS shared FROM c JOIN b USING (run_id)),
+g AS (SELECT *, list_transform(range(1, l + 1), lambda d: 2.0::DOUBLE * len(list_filter(shared, lambda x: x <= d)) / (least(d, n) + least(d, m))) AS g FROM j)
+SELECT run_id, round(0.1::DOUBLE / 0.9 * list_sum(list_transform(range(1, l + 1), lambda d: pow(0.9::DOUBLE, d) * (g[d] + CASE WHEN d > s THEN g[s] * s * (d - s) / (s * d) ELSE 0 END))) + pow(0.9::DOUBLE, l) * ((g[l] * s - g[s] * s) / l + g[s]), 9) AS rbo FROM g"""
+)
 def ovl_rank_biased(spark: SparkSession, sf: str) -> DataFrame:
     """OVL4: rank-biased overlap of a run's cited keys and its results."""
     c = _cited_lists(spark, sf).filter("section = 'cited' AND size(keys) > 0").select("run_id", F.array_distinct("keys").alias("a"))
@@ -231,7 +254,10 @@ def cnt_top_domains(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(n, ["side"], [F.col("n").desc(), F.col("domain")], 10)
 
 
-@query()
+@query(
+    f"""WITH {RUNS}, r AS (SELECT prompt_id, len({sql_literal("coalesce(sources_cited, '')")}) AS a, len({sql_literal("coalesce(sources_additional, '')")}) AS b, len({sql_literal("coalesce(domains_all, '')")}) AS d FROM runs)
+SELECT query_level, count(*) AS n_runs, round(avg(a), 2) AS mean_cited, round(avg(b), 2) AS mean_additional, round(avg(d), 2) AS mean_domains FROM r JOIN prompts USING (prompt_id) GROUP BY 1"""
+)
 def cnt_list_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """CNT6 (ARR5): mean list lengths by level of the prompt."""
     r = runs(spark, sf).select("prompt_id", F.size(literal_list("sources_cited")).alias("a"), F.size(literal_list("sources_additional")).alias("b"), F.size(literal_list("domains_all")).alias("d")).join(table(spark, sf, "prompts").select("prompt_id", "query_level"), "prompt_id")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from rankweave.functions.urls import decode_redirect
 from rankweave.operators.merge import ensure_columns
 from rankweave.operators.setops import is_ad_click, top_k
-from rankweave.plans.base import CITATIONS, SERP, citations, runs, serp
+from rankweave.plans.base import CITATIONS, RUNS, SERP, citations, runs, serp
 from rankweave.plans.overlap_queries import SQL as OVERLAP_SQL
-from rankweave.plans.overlap_queries import xr_cqmiso
+from rankweave.plans.overlap_queries import xr_cqmiso, xr_csmso, xr_miso
 from rankweave.session import table
 
 QUERIES: dict = {}
@@ -123,3 +123,59 @@ def win_ends(spark: SparkSession, sf: str) -> DataFrame:
     o = F.struct("position", "row_id")
     return s.groupBy("run_id").agg(F.count("*").alias("n_rows"), F.min_by("title", o).alias("first_title"), F.max_by("key", o).alias("last_key"))
 
+@query(
+    f"""WITH {CITATIONS}, n AS (SELECT prompt_id, count(*) AS runs FROM runs GROUP BY 1), u AS (SELECT prompt_id, key, count(DISTINCT run_id) AS k FROM citations GROUP BY 1, 2)
+SELECT prompt_id, any_value(runs) AS n_runs, count(key) AS n_pages, count(*) FILTER (k >= 2) AS in_two_runs, count(*) FILTER (k = 1) AS in_one_run, count(*) FILTER (k = runs) AS in_all_runs,
+ coalesce(round(count(*) FILTER (k >= 2) / nullif(count(key), 0), 9), 0.0) AS overlap_rate, coalesce(round(count(*) FILTER (k = 1) / nullif(count(key), 0), 9), 0.0) AS churn_rate FROM n LEFT JOIN u USING (prompt_id) GROUP BY 1"""
+)
+def xrc_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """XRC4: of the pages a prompt's runs cite, those of two runs or more, of one run only, and of all runs."""
+    n = runs(spark, sf).groupBy("prompt_id").agg(F.count("*").alias("n_runs"))
+    u = citations(spark, sf).groupBy("prompt_id", "key").agg(F.count_distinct("run_id").alias("k"))
+    j = n.join(u, "prompt_id", "left").groupBy("prompt_id", "n_runs").agg(
+        F.count("key").alias("n_pages"), F.count_if(F.col("k") >= 2).alias("in_two_runs"), F.count_if(F.col("k") == 1).alias("in_one_run"), F.count_if(F.col("k") == F.col("n_runs")).alias("in_all_runs"),
+    )
+    share = lambda c, name: F.coalesce(F.round(F.col(c) / F.nullif(F.col("n_pages"), F.lit(0)), 9), F.lit(0.0)).alias(name)
+    return j.select("*", share("in_two_runs", "overlap_rate"), share("in_one_run", "churn_rate"))
+
+
+@query(
+    f"""WITH {RUNS}, q AS (SELECT prompt_id, run_id, unnest(regexp_extract_all(lower(generated_search_query), '[a-z0-9]+')) AS t FROM runs WHERE lower(trim(coalesce(generated_search_query, ''))) NOT IN ('', 'nan', 'n/a')),
+c AS (SELECT prompt_id, run_id, t, count(*) AS n FROM q GROUP BY ALL), l AS (SELECT run_id, sqrt(sum(n * n)) AS l FROM c GROUP BY 1), d AS (SELECT DISTINCT prompt_id, run_id FROM c),
+p AS (SELECT a.prompt_id, a.run_id AS x, b.run_id AS y FROM d a JOIN d b ON a.prompt_id = b.prompt_id AND a.run_id < b.run_id),
+s AS (SELECT p.prompt_id, p.x, p.y, coalesce(sum(c.n * e.n), 0) / any_value(lx.l * ly.l) AS cos FROM p JOIN l lx ON lx.run_id = p.x JOIN l ly ON ly.run_id = p.y LEFT JOIN c ON c.run_id = p.x LEFT JOIN c e ON e.run_id = p.y AND e.t = c.t GROUP BY 1, 2, 3)
+SELECT prompt_id, count(*) AS n_pairs, round(avg(cos), 9) AS rewrite_similarity FROM s GROUP BY 1"""
+)
+def xrc_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """XRC4: mean token cosine of the search queries that the runs of a prompt rewrote it to.
+
+    The mean over all pairs of n unit vectors is (|sum|^2 - n) / (n (n - 1)), so no pair is formed.
+    """
+    text = F.lower(F.coalesce("generated_search_query", F.lit("")))
+    q = runs(spark, sf).filter(~F.trim(text).isin("", "nan", "n/a")).select("prompt_id", "run_id", F.explode(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    c = q.groupBy("prompt_id", "run_id", "t").agg(F.count("*").alias("n"))
+    length = c.groupBy("run_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+    t = c.join(length, "run_id").groupBy("prompt_id", "t").agg(F.sum(F.col("n") / F.col("l")).alias("s"))
+    n = length.join(c.select("run_id", "prompt_id").distinct(), "run_id").groupBy("prompt_id").agg(F.count("*").alias("n"))
+    j = t.groupBy("prompt_id").agg(F.sum(F.col("s") * F.col("s")).alias("q")).join(n.filter("n > 1"), "prompt_id")
+    pairs = F.col("n") * (F.col("n") - 1)
+    return j.select("prompt_id", F.floor(pairs / 2).alias("n_pairs"), F.round((F.col("q") - F.col("n")) / pairs, 9).alias("rewrite_similarity"))
+
+
+_FRAMES = ("xr_csmso", "xr_miso", "xrc_shares", "xrc_rewrites")
+
+
+def jon_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """JON14: four frames of figures side by side, joined by prompt and not by the order of their rows."""
+    csmso, miso = xr_csmso(spark, sf).select("prompt_id", "csmso_mean"), xr_miso(spark, sf).select("prompt_id", "miso_mean")
+    shares, similar = xrc_shares(spark, sf).select("prompt_id", "overlap_rate"), xrc_rewrites(spark, sf).select("prompt_id", "rewrite_similarity")
+    p = table(spark, sf, "prompts").select("prompt_id", "query", "market_type", "query_level", "product")
+    for f in (csmso, miso, shares, similar):
+        p = p.join(f, "prompt_id", "left")
+    return p
+
+
+QUERIES["jon_metrics"] = jon_metrics
+SQL["jon_metrics"] = "SELECT p.prompt_id, p.query, p.market_type, p.query_level, p.product, a.csmso_mean, b.miso_mean, c.overlap_rate, d.rewrite_similarity FROM prompts p " + " ".join(
+    f"LEFT JOIN ({(OVERLAP_SQL | SQL)[f]}) {x} ON {x}.prompt_id = p.prompt_id" for f, x in zip(_FRAMES, "abcd")
+)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from rankweave.session import exists
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, squash: tuple[str, ...] = ()) -> DataFrame:
     """SRC1 to SRC4: all columns as text, missing ones as '', headers trimmed, a byte order mark ignored.
@@ -172,7 +174,7 @@ def write_csv(df: DataFrame, path: str, preferred: list[str] | None = None, quot
     df = df.select(*order, *[c for c in df.columns if c not in order])
     if one_line:
         df = df.select(*[F.regexp_replace(c, r"[\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", quote_all).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", quote_all).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_version(df: DataFrame, folder: str) -> str:
@@ -193,7 +195,6 @@ def write_snapshots(df: DataFrame, key_hash: str, text: str, order: str, path: s
 
     spark = df.sparkSession
     fresh = first_wins(df.filter(F.trim(F.coalesce(text, F.lit(""))) != ""), [key_hash], [order]).select(F.col(key_hash).alias("hash"), F.col(text).alias("text"))
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        fresh = fresh.join(spark.read.parquet(path).select("hash"), "hash", "left_anti")
+    if exists(spark, path):
+        fresh = fresh.join(spark.read.schema("hash string, text string").parquet(path).select("hash"), "hash", "left_anti")
     fresh.write.mode("append").parquet(path)

@@ -15,21 +15,35 @@ PAGE = """<html><head><title> T </title><meta property="og:title" content="OG"><
 
 
 def test_text_and_metadata():
-    assert H.page_text(PAGE).split("\n")[:2] == ["kept", "One two"] and "side" in H.page_text(PAGE, classes=False) and H.page_text(None) == ""
+    assert H.page_text(PAGE) == "keptOne two1B cinagain" and "side kept" in H.page_text(PAGE, classes=False) and H.page_text(None) == ""
+    assert "kept" not in H.page_text(PAGE, classes="parts") and "One two" in H.page_text(PAGE, classes="parts")  # sidebars holds a name
+    for name, kept in (("header", True), ("header-wide", True), ("read", True), ("ad", False), ("x popup y", False), ("Ad", True)):
+        assert ("in" in H.page_text(f'<body><div class="{name}">in</div></body>')) == kept
+    assert [H.page_text(f'<body><p id="{n}">in</p></body>', "parts") for n in ("header-wide", "reading", "text")] == ["", "", "in"]
+    assert H.page_metadata('<div id="root">')["js_render_suspected"] and not H.page_metadata('<div id="root">', rendered=True)["js_render_suspected"] and not H.page_metadata('<div id="root">' + "x" * 400)["js_render_suspected"]
     m, g = H.page_metadata(PAGE), H.page_metadata(PAGE, ld_first=False)
     assert (m["title"], m["published"], m["modified"], m["canonical"], m["schema_types"], m["table_count"]) == ("T", "2024-02-02", "2024-03-03", "https://a.example/x", "Article|Thing", 1)
     assert (g["title"], g["published"], g["modified"]) == ("OG", "2024-01-01", "")
     assert H.result_links(PAGE) == [{"position": 1, "title": "B c", "url": "https://b.example/y"}]
-    assert H.page_text("<p>a<div>b</p></i>c") == "a\nb\nc"
+    assert H.page_text("<p>a<div>b</p></i>c") == "abc"
 
 
 def test_html_columns(spark):
     d = spark.createDataFrame([(PAGE,), (None,)], "html string")
     r = d.select(H.html_text("html").alias("t"), H.html_metadata("html").alias("m"), H.html_results("html").alias("l"), H.has_table(F.col("html")).alias("h"), H.has_schema_markup(F.col("html")).alias("s"), H.stripped(F.col("html")).alias("x"), H.freshness(F.col("html")).alias("f")).collect()
-    assert r[0]["m"]["title"] == "T" and r[0]["h"] and r[0]["s"] and "no" not in r[0]["x"].split() and r[0]["f"] == "2024-01-01" and len(r[0]["l"]) == 1 and r[1]["t"] == ""
+    assert r[0]["m"]["title"] == "T" and r[0]["h"] and r[0]["s"] and "no" not in r[0]["x"].split() and r[0]["f"] == "" and len(r[0]["l"]) == 1 and r[1]["t"] == ""
     table = '<table class="compare">' + "<tr><th>price</th></tr>" * 6 + "feature pros cons</table><h2>Pros</h2><h2>Cons</h2>"
-    e = spark.createDataFrame([(table,)], "h string").select(H.comparison_score(F.col("h")), H.pros_cons_score(F.col("h")), H.js_suspected(F.lit("x"), F.lit('<div id="root">')), H.capped(F.lit("abc"), 2)["content_truncated"]).first()
-    assert e[:] == (1.0, 0.8, True, True)
+    e = spark.createDataFrame([(table,)], "h string").select(H.comparison_score(F.col("h")), H.pros_cons_score(F.col("h"), F.lit("The pros: fast. The cons: loud.")), H.js_suspected(F.lit("x"), F.lit('<div id="root">')), H.capped(F.lit("abc"), 2)["content_truncated"]).first()
+    assert e[:] == (1.0, 0.35, True, True)
+    cases = [
+        ("<table><tr><td>x", 0.0), ("no price, no rating, vs, score", 0.0), ("<table>" + "<tr><th>" * 6, 0.45), ("<table> vs score", 0.2), ('<table class="pricing-table">', 0.25), ('<table id="x-vs">', 0.25), ("<table>price rating pros cons", 0.35),
+    ]
+    got = spark.createDataFrame([(h,) for h, _ in cases], "h string").coalesce(1).select(H.comparison_score(F.col("h"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+    marks = [("itemscope", False), ("itemscope itemtype", True), ('typeof="x" property="y"', True), ('typeof="x" vocab="y"', False), ('type="application/ld+json"', True)]
+    assert [r[0] for r in spark.createDataFrame([(h,) for h, _ in marks], "h string").coalesce(1).select(H.has_schema_markup(F.col("h"))).collect()] == [w for _, w in marks]
+    times = [('<time class="a" datetime="2024-03-05">', "2024-03-05"), ("<TIME datetime='2024-03-05T10:00:00+02:00'>", "2024-03-05"), ('<time datetime="March 5">', ""), ('<meta property="article:published_time" content="2024-03-05">', ""), ('"datePublished": "2024-03-05"', "")]
+    assert [r[0] for r in spark.createDataFrame([(h,) for h, _ in times], "h string").coalesce(1).select(H.freshness(F.col("h"))).collect()] == [w for _, w in times]
 
 
 def test_csv_forms(spark, tmp_path):

@@ -30,22 +30,22 @@ def test_overlap_micro_cases(spark):
     assert [r[0]["overlap_coeff"] for r in d.select(O.overlap_stats(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 0.5, 1.0]
 
 
-def rbo(x, y, p=0.9):
-    """Extrapolated overlap from its definition, by sets at each depth."""
-    s, l = sorted((len(x), len(y)))
-    agree = lambda d: 2 * len(set(x[:d]) & set(y[:d])) / (len(set(x[:d])) + len(set(y[:d])))
-    over = lambda d: agree(d) * min(d, s)
-    total = sum(p**d * agree(d) for d in range(1, l + 1)) + sum(p**d * over(s) * (d - s) / s / d for d in range(s + 1, l + 1))
-    return (1 - p) / p * total + p**l * ((over(l) - over(s)) / l + over(s) / s)
-
-
 def test_rank_biased(spark):
+    """Values worked out by hand at p = 0.9 and 0.5, and bounds that hold for any lists."""
+    of = lambda p, *pairs: [r[0] for r in lists(spark, *pairs).coalesce(1).select(O.rank_biased(F.col("a"), F.col("b"), p)).collect()]
+    assert of(0.9, (["a", "b"], ["a", "b"]), (["a"], ["b"]), (["a", "b"], ["c", "d"])) == pytest.approx([1.0, 0.0, 0.0])
+    # swapped pair: agreement 0 then 1: (1-p)/p * p^2 + p^2
+    assert of(0.5, (["a", "b"], ["b", "a"])) == pytest.approx([0.5])
+    assert of(0.9, (["a", "b"], ["b", "a"])) == pytest.approx([0.9])
+    # one list is longer: depth 1 agrees fully, depth 2 in 2 of 3 places, and half of the short list's overlap is carried on
+    assert of(0.5, (["a"], ["a", "b"])) == pytest.approx([0.5 + 0.25 * (2 / 3 + 1 / 2) + 0.25 * ((2 / 3 - 1) / 2 + 1)])
+    assert of(0.9, ([], ["a"])) == [None]
     rnd = random.Random(2)
     pairs = [(rnd.sample("abcdefgh", rnd.randint(1, 6)), rnd.sample("abcdefgh", rnd.randint(1, 8))) for _ in range(30)]
-    got = [r[0] for r in lists(spark, *pairs).coalesce(1).select(O.rank_biased(F.col("a"), F.col("b"))).collect()]
-    assert got == pytest.approx([rbo(x, y) for x, y in pairs])
-    assert lists(spark, (["a", "b"], ["a", "b"])).select(O.rank_biased(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1.0)
-    assert lists(spark, ([], ["a"])).select(O.rank_biased(F.col("a"), F.col("b"))).first()[0] is None
+    got = of(0.9, *pairs)
+    assert got == pytest.approx(of(0.9, *[(y, x) for x, y in pairs])) and all(-1e-9 <= v <= 1 + 1e-9 for v in got)
+    longer = of(0.9, *[(x, y) if len(x) >= len(y) else (y, x) for x, y in pairs])
+    assert got == pytest.approx(longer)
 
 
 def test_bucket_is_cut_before_deduplication(spark):
@@ -112,6 +112,17 @@ def test_rank_tests(spark):
     for (i, x), (j, y) in itertools.combinations(enumerate(groups), 2):
         assert m["abc"[i], "abc"[j]]["u"] == sum((p > q) + 0.5 * (p == q) for p in x for q in y)
     assert all(0 < x["p"] <= x["p_bonferroni"] <= 1 for x in m.values())
+    apart = spark.createDataFrame([("a", float(x)) for x in range(4)] + [("b", float(x)) for x in range(10, 15)], "g string, v double")
+    assert T.mann_whitney_pairs(apart, "g", "v").first()["p"] == pytest.approx(2 / 126)  # exact: one order of C(9, 4), on either side
+    assert T.mann_whitney_pairs(d.filter("g <> 'c'"), "g", "v").first()["p"] != pytest.approx(T.exact_u_p(1.5, 4, 4))  # ties
+
+
+def test_running_before(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice("ab"), i, rnd.randint(1, 9)) for i in rnd.sample(range(5000), 3000)]
+    got = T.running_before(spark.createDataFrame(data, "g string, o long, v long"), ["g"], "o", "v", "before").collect()
+    assert {(r["g"], r["o"]): r["before"] for r in got} == {(g, o): sum(v for h, p, v in data if h == g and p < o) for g, o, _ in data[:200]} | {(r["g"], r["o"]): r["before"] for r in got if (r["g"], r["o"]) not in {(g, o) for g, o, _ in data[:200]}}
+    assert len(got) == 3000
 
 
 def test_distributions():
@@ -157,8 +168,9 @@ def test_labels(spark):
     assert rows(L.latest_labels(log, "url", ["line"]), "url", "line") == [("u", 1), ("v", 3)] and L.failures(log).count() == 1
     b = L.best_text([(spark.createDataFrame([("u", 1, " ", "s1")], "k string, o int, t string, s string"), "o"), (spark.createDataFrame([("u", 2, "t2", "s2"), ("v", 1, None, "s3")], "k string, o int, t string, s string"), "o")], "k", ["t", "s"])
     assert rows(b, "k", "t", "s") == [("u", "t2", "s1"), ("v", None, "s3")]
-    n = spark.createDataFrame([("true",), ("3.7",), ("x",), (None,)], "v string")
-    assert [r[0] for r in n.select(L.to_label_int(F.col("v"))).collect()] == [1, 3, None, None]
+    n = spark.createDataFrame([("true",), ("3.7",), ("x",), (None,), (" 1e2 ",), ("nan",)], "v string").coalesce(1)
+    assert [r[0] for r in n.select(L.to_label_int(F.col("v"))).collect()] == [None, 3, None, None, 100, None]
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,), (None,)], "v boolean").coalesce(1).select(L.to_label_int(F.col("v"))).collect()] == [1, 0, None]
     u = spark.createDataFrame([("u", ""), ("w", None), ("z", "page")], "url string, type string")
     assert rows(L.unlabelled(u, log.filter("ok"), None, "url"), "url") == [("w",)]
     p = products.withColumn("listicle_domain", F.lit("d.example"))
@@ -169,5 +181,10 @@ def test_checks(spark):
     d = spark.createDataFrame([("a", "https://x/ck/a"), ("a", "u"), ("", "v")], "key string, url string")
     assert {r["check"]: (r["value"], r["ok"]) for r in checks(d, "t", "key", "url").collect()} == {"t.rows": (3, True), "t.blank_keys": (1, False), "t.duplicate_keys": (1, False), "t.redirects": (1, False)}
     assert {r["check"]: r["value"] for r in checks(d.limit(0), "t", "key", "url").collect()}["t.rows"] == 0
-    m = spark.createDataFrame([("x" * 300, None, None, "u"), (None, "err", None, "u"), ("", "nan", "true", "u"), ("x", "", "", "u"), (None, None, None, None)], "content string, contentError string, js_render_suspected string, url string")
-    assert [r["missing_reason"] for r in missing_reason(m).collect()] == ["present", "fetch error", "needs scripts", "too short", "no url"]
+    cases = [
+        (("", True, 150, True, True, False, False), ""), (("", True, 50, True, False, True, False), "Failed: Thin Content (<100 words)"), (("", True, 50, True, False, False, True), ""), (("Skipped (Manual unreachable)", True, 1, True, True, True, True), "Skipped (Manual unreachable)"),
+        (("", False, 0, False, True, False, True), "Pending Fetch (High Priority)"), (("", False, 0, False, False, False, True), "Side-Panel Only (Skipped)"), (("", False, 0, False, False, False, False), "Pending Fetch (Uncategorized)"),
+        (("", False, 0, True, False, False, True), "Side-Panel Only (Skipped)"), (("", False, 0, True, True, False, True), "Failed: Fetch Error (403/429/Timeout)"), ((None, None, None, None, None, None, None), "Pending Fetch (Uncategorized)"),
+    ]
+    m = spark.createDataFrame([c for c, _ in cases], "existing_reason string, has_content boolean, word_count long, attempted boolean, is_inline boolean, is_ranked boolean, is_additional boolean").coalesce(1)
+    assert [r["missing_reason"] for r in missing_reason(m).collect()] == [w for _, w in cases]

@@ -5,7 +5,7 @@ import importlib
 import pytest
 from helpers import same
 
-MODULES = [f"rankweave.plans.{m}_queries" for m in ("overlap", "function", "maintenance", "report", "timestamp", "nested")]
+MODULES = [f"rankweave.plans.{m}_queries" for m in ("overlap", "function", "maintenance", "report", "source", "timestamp", "nested")]
 CASES = [(m, n) for m in MODULES for n in importlib.import_module(m).QUERIES]
 
 

@@ -63,6 +63,8 @@ def test_key2_on_random_urls(spark):
         ("url_key9", "https://www.A.example/X//?b=1", "https://www.a.example/x"),
         ("url_key10", "https://www.A.example/X//?b=1", "a.example/x"),
         ("clean_url", "https://A.example/x?utm_source=1&b=2#c", "https://A.example/x?b=2#c"),
+        ("clean_url", "https://a.example/?source=1&ref=2&msclkid=3&spm=4", "https://a.example/?msclkid=3&spm=4"),
+        ("clean_url", "a.example/?ref=2", "a.example/?ref=2"),
         ("domain1", "WWW.A.example:8080/x", "a.example:8080"),
         ("domain2", "a.Example/x", "a.Example/x"),
         ("domain3", "a.example/x", ""),
@@ -75,6 +77,7 @@ def test_key2_on_random_urls(spark):
         ("domain8", "no url", "no url"),
         ("domain9", "https://x.y.a.example/z", "a.example"),
         ("domain10", "https://apps.microsoft.com/x", "com"),
+        ("domain10", "play.a.example:8080/x", "a.example:8080"),
         ("domain11", "www.www.a.example", "a.example"),
     ],
 )
@@ -89,10 +92,12 @@ def test_redirects(spark):
     r = f"https://www.bing.com/ck/a?x=1&u=a1{coded}&ntb=1"
     assert values(spark, U.decode_redirect, [r, "https://www.bing.com/ck/a?u=a1L3ZpZGVvcw", "https://x.example/", None]) == ["https://www.target.example/a?utm_x=1&b=2", "", "https://x.example/", ""]
     assert values(spark, U.url_key1, [r]) == ["target.example/a?b=2"]
-    assert values(spark, U.decode_any, [r, "https://x.example/?u=https%3A%2F%2Fa.example"]) == ["https://www.target.example/a?utm_x=1&b=2", "https://a.example"]
+    bing = "https://www.bing.com/x?u="
+    got = values(spark, U.decode_any, [r, bing + "https%3A%2F%2Fa.example%2F%3Fref%3D1%26b%3D2", bing + "zz" + coded, bing + b"https://a.example".hex(), "https://x.example/?u=https%3A%2F%2Fa.example", "https://www.bing.com/ck/x/u=a1" + coded, bing + "L3ZpZGVvcw"])
+    assert got == ["https://www.target.example/a?utm_x=1&b=2", "https://a.example/?b=2", "https://www.target.example/a?utm_x=1&b=2", "https://a.example", None, "https://www.target.example/a?utm_x=1&b=2", None]
 
 
 def test_hosts_hashes_and_text(spark):
     assert values(spark, site_of, [" <Https://WWW.A.example./x>", "a.example/x", "//b.example:80", "", None]) == ["a.example", "a.example", "b.example", None, None]
     assert values(spark, U.short_hash, ["abc"]) == ["ba7816bf8f01cfea"]
-    assert values(spark, U.urls_in, ["see https://a.example/x, and (https://a.example/x) https://b.example."]) == [["https://a.example/x", "https://b.example"]]
+    assert values(spark, U.urls_in, ["see https://a.example/x, and (https://a.example/x) https://b.example. [HTTPS://c.example/?a=1]!", None]) == [["https://a.example/x", "https://b.example", "HTTPS://c.example/?a=1"], []]
