@@ -116,6 +116,13 @@ def payload_tokens(n: Column | str) -> Column:
     return F.floor(F.greatest(_c(n), F.lit(0)) / 4)
 
 
+def fetch_error(name: Column | str, message: Column | str) -> Column:
+    """SRC13: what an error of a fetch is called, by its name, else by its message."""
+    m = F.coalesce(_c(message), F.lit(""))
+    has = lambda x: F.contains(m, F.lit(x))
+    return F.when(_c(name) == "AbortError", "Request timeout").when(has("Failed to fetch"), "Network error or blocked").when(has("NetworkError"), "Network error").when(has("TypeError"), "Invalid URL or network error").otherwise(m)
+
+
 # JSON
 
 

@@ -277,7 +277,7 @@ def htm_text(spark: SparkSession, sf: str) -> DataFrame:
     r"""SELECT row_id, length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(content, ''), '(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS stripped_length, contains(lower(coalesce(content, '')), '<table') AS has_table FROM serp_export"""
 )
 def htm_stripped(spark: SparkSession, sf: str) -> DataFrame:
-    """HTM3, HTM4, HTM8: text by patterns."""
+    """HTM4, HTM8: text by patterns."""
     c = F.coalesce("content", F.lit(""))
     return table(spark, sf, "serp_export").select("row_id", F.length(H.stripped(c)).alias("stripped_length"), H.has_table(c).alias("has_table"))
 

@@ -248,7 +248,7 @@ def cnt_density(spark: SparkSession, sf: str) -> DataFrame:
 SELECT side, rank, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, domain) AS rank FROM c) WHERE rank <= 10"""
 )
 def cnt_top_domains(spark: SparkSession, sf: str) -> DataFrame:
-    """CNT4, CNT5 (FLT12, SRT3): the ten most frequent domains of both sides, ties by name."""
+    """CNT4 (FLT12, SRT3): the ten most frequent domains of both sides, ties by name."""
     both = citations(spark, sf).select(F.lit("cited").alias("side"), "domain").unionByName(serp(spark, sf).filter("position <= 3").select(F.lit("top3").alias("side"), "domain"))
     n = both.groupBy("side", "domain").agg(F.count("*").alias("n"))
     return top_k(n, ["side"], [F.col("n").desc(), F.col("domain")], 10)

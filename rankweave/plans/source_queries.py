@@ -1,4 +1,4 @@
-"""Queries of sources, sinks and label tables: tables written in a file form and read back, labels taken apart.
+"""Queries of sources, sinks, label tables and nested columns: tables written in a file form and read back, labels taken apart.
 
 The files lie in the shared folder and go when the application ends.
 """
@@ -10,11 +10,13 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import fill_template
+from rankweave.functions.text import fetch_error, fill_template, literal_list
 from rankweave.functions.urls import short_hash
+from rankweave.operators.html import text_lines
 from rankweave.operators.labels import failures, host_bias, label_tables, to_label_int, unlabelled
 from rankweave.operators.merge import drop_unreferenced, ensure_columns
-from rankweave.plans.base import CITATIONS, DEEP, SERP, citations, deep, serp
+from rankweave.operators.setops import top_k
+from rankweave.plans.base import CITATIONS, DEEP, RUNS, SERP, citations, deep, runs, serp, sql_literal
 from rankweave.session import fresh_path, table
 from rankweave.sources import files as S
 
@@ -186,3 +188,37 @@ def mrg_missing_columns(spark: SparkSession, sf: str) -> DataFrame:
     """MRG20: a table brought to a schema with one column more."""
     want = spark.createDataFrame([], "added string, page_num bigint, run_id string").schema
     return ensure_columns(table(spark, sf, "deep_results").select("run_id", "page_num", "url"), want)
+
+@query(
+    """SELECT url, CASE WHEN error_type = 'AbortError' THEN 'Request timeout' WHEN contains(coalesce(error_message, ''), 'Failed to fetch') THEN 'Network error or blocked' WHEN contains(coalesce(error_message, ''), 'NetworkError') THEN 'Network error'
+ WHEN contains(coalesce(error_message, ''), 'TypeError') THEN 'Invalid URL or network error' ELSE coalesce(error_message, '') END AS error FROM label_failures"""
+)
+def src_fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC13: what an error of a fetch is called."""
+    return table(spark, sf, "label_failures").select("url", fetch_error("error_type", "error_message").alias("error"))
+
+
+_COUNTED = " UNION ALL ".join(f"SELECT prompt_id, '{c}' AS c, unnest({sql_literal(f'''coalesce({c}, '')''')}) AS domain FROM runs" for c in ("domains_cited", "domains_additional"))
+
+
+@query(
+    f"""WITH {RUNS}, d AS ({_COUNTED}), n AS (SELECT p.product, d.domain, count(*) FILTER (c = 'domains_cited') AS domains_cited, count(*) FILTER (c = 'domains_additional') AS domains_additional, count(*) AS domains_all FROM d JOIN prompts p USING (prompt_id) WHERE trim(domain) <> '' GROUP BY 1, 2)
+SELECT product, rank, domain, domains_cited, domains_additional, domains_all FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY domains_all DESC, domain) AS rank FROM n) WHERE rank <= 10"""
+)
+def cnt_domain_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """CNT5: of each product the ten most frequent domains over two nested columns, ``domains_all`` being their sum; ties by name."""
+    columns = ("domains_cited", "domains_additional")
+    r = runs(spark, sf).select("prompt_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), literal_list(c).alias("l")) for c in columns])).alias("s"))
+    d = r.select("prompt_id", "s.c", F.explode("s.l").alias("domain")).filter(F.trim("domain") != "").join(table(spark, sf, "prompts").select("prompt_id", "product"), "prompt_id")
+    n = d.groupBy("product", "domain").agg(*[F.count_if(F.col("c") == c).alias(c) for c in columns], F.count("*").alias("domains_all"))
+    return top_k(n, ["product"], [F.col("domains_all").desc(), F.col("domain")], 10)
+
+
+@query(
+    r"""WITH l AS (SELECT row_id, trim(regexp_replace(unnest(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(content, ''), '(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)\s*>', chr(10), 'g'), '(?i)</?(?:p|div|li|br|tr|td|th|h[1-6]|section|article|header|footer|main|aside)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), chr(10))), '\s+', ' ', 'g')) AS s FROM serp_export),
+m AS (SELECT row_id, lower(s) AS s, length(s) AS n, length(regexp_replace(s, '[^\p{L}]', '', 'g')) AS k FROM l)
+SELECT row_id, count(*) FILTER (s <> '' AND NOT (regexp_matches(s, '^(?:@layer |@media |@supports |:root|--|function\()') OR (contains(s, 'css') AND contains(s, '}')) OR regexp_matches(s, 'var\(--|--color-|--font-|webpack|window\.__') OR (k <= 5 AND n > 40) OR (k > 0 AND (n - k) / k > 2.5))) AS n_lines FROM m GROUP BY 1"""
+)
+def htm_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """HTM3: lines of text that patterns leave, block tags being line breaks and lines of code or marks left out."""
+    return table(spark, sf, "serp_export").select("row_id", F.size(text_lines(F.col("content"))).cast("bigint").alias("n_lines"))

@@ -46,6 +46,12 @@ def test_html_columns(spark):
     assert [r[0] for r in spark.createDataFrame([(h,) for h, _ in times], "h string").coalesce(1).select(H.freshness(F.col("h"))).collect()] == [w for _, w in times]
 
 
+def test_lines_by_patterns(spark):
+    page = "<p>One <b>two</b></p>three<br>@media x{}<div>a css } rule</div><li>color: var(--c)</li><script>no</script>--x<h2>1234567890 1234567890 1234567890 1234567890 ab</h2>..;;a<td>End</td>"
+    got = [r[0] for r in spark.createDataFrame([(page,), (None,), ("",)], "h string").coalesce(1).select(H.text_lines(F.col("h"))).collect()]
+    assert got == [["One two", "three", "End"], [], []]
+
+
 def test_csv_forms(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('﻿ id ,text\n1,"a ""b""\nc"\n2,\n', encoding="utf-8")
@@ -58,6 +64,8 @@ def test_csv_forms(spark, tmp_path):
     assert S.read_matching(spark, [str(p)], ["none"]).count() == 0
     out = str(tmp_path / "out")
     S.write_csv(spark.createDataFrame([("x\ny", 'q"', 1)], "t string, u string, id int"), out, preferred=["id"], quote_all=True, one_line=True)
+    S.write_csv(spark.createDataFrame([(" a ", "")], "t string, u string"), out + "2")
+    assert S.read_csv(spark, out + "2").first()[:] == (" a ", "")  # blanks at the ends stay
     back = S.read_csv(spark, out)
     assert back.columns == ["id", "t", "u"] and back.first()[:] == ("1", "x y", 'q"')
 

@@ -34,3 +34,5 @@ def test_more(spark):
     assert d.select(T.percentage(F.lit(1), F.lit(0)), T.percentage(F.lit(1), F.lit(4)), T.page_of_rank(F.lit(11)), T.clamp01(F.lit(1.5)), T.payload_tokens(F.lit(9))).first()[:] == (0.0, 25.0, 2, 1.0, 2)
     assert d.select(T.fill_template("<{{a}}>", 2, a=F.lit("xyz"))).first()[0] == "<xy>"
     assert d.select(T.run_parts(F.lit("P1_R07"))).first()[0] == ("P1", 7)
+    e = [("AbortError", "x", "Request timeout"), ("E", "Failed to fetch", "Network error or blocked"), (None, "NetworkError when", "Network error"), ("", "TypeError: u", "Invalid URL or network error"), ("E", "HTTP 404", "HTTP 404"), (None, None, "")]
+    assert [r[0] for r in spark.createDataFrame([x[:2] for x in e], "n string, m string").coalesce(1).select(T.fetch_error("n", "m")).collect()] == [w for *_, w in e]
