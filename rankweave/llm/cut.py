@@ -181,7 +181,8 @@ def _line_hash(line: Column) -> Column:
 
 def facts_of(rows: DataFrame, key: str, text: str, page: Column, stated: str) -> DataFrame:
     """Of each non-blank row: ``inner`` and ``pages`` (its last line is complete elsewhere, or ends several pages), ``longer`` (a sibling goes on), ``right`` (the stated length is right)."""
-    base = rows.select(F.col(key).alias("_key"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), F.xxhash64(page).alias("_page"), page.isNotNull().alias("_has_page")).filter(F.col("_text").rlike(r"\S"))
+    named = rows.select(F.col(key).alias("_key"), F.col(stated).cast("bigint").alias("_stated"), F.col(text).alias("_text"), page.alias("_name")).filter(F.col("_text").rlike(r"\S"))
+    base = named.select("_key", "_stated", "_text", F.xxhash64("_name").alias("_page"), F.col("_name").isNotNull().alias("_has_page"))  # the name is made once a row
     split = F.split(F.rtrim(F.col("_text"), F.lit(_BLANK)), "\n")
     n = F.size(split)
     lines = base.select("_page", F.explode(F.array_distinct(F.transform(split, lambda x, i: F.struct(_line_hash(x).alias("line"), (i < n - 1).alias("inner"))))).alias("_l"))
