@@ -235,10 +235,8 @@ def domain9(url: Column | str) -> Column:
 
 def domain10(url: Column | str) -> Column:
     """DOM10: host with port; store prefixes are cut one after the other, each where it then stands first."""
-    d = domain1(url)
-    for p in ("apps.", "play.", "chrome.", "itunes.", "microsoft.", "addons."):
-        d = F.when(d.startswith(p), F.substring(d, len(p) + 1, 10000)).otherwise(d)
-    return d
+    stores = ("apps", "play", "chrome", "itunes", "microsoft", "addons")
+    return F.regexp_replace(domain1(url), "^" + "".join(rf"(?:{p}\.)?" for p in stores), "")
 
 
 def domain11(domain: Column | str) -> Column:
