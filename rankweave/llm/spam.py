@@ -1,14 +1,14 @@
 """Problem 1: pages of keywords, links or product tags instead of sentences.
 
 Method: every page is cut into phrases of five words, the shingles of its words in order, and the
-distinct hosts of each phrase are counted over all pages. Stuffed pages are made by pouring the
-keywords of a page into patterns that all such pages share ("buy X, X price, best X"), so phrases are
-compared with the page's own keywords left out: a word that the page repeats stands for its place in
-the phrase, a link for a link, an article number for a number. A phrase counts if at least four of
-its five words are such keywords, links or numbers. A page is flagged when it is list-dense (most of
-its text is no sentence), keyword phrases are a fair part of it, and its list text is stitched from
-phrases that other hosts have too. All must hold: replication decides which list-dense pages are
-flagged, and without other hosts none is.
+distinct hosts of each phrase are counted over all pages. A phrase stands as it is written. Stuffed
+pages also pour the keywords of a page into patterns that all such pages share ("buy X, X price, best
+X"), so a phrase of which at least four words are such keywords, links or numbers, a keyword phrase,
+is counted in a second form besides: a word that the page repeats stands for its place in the phrase,
+a number for a number. A phrase of either form that other hosts have is replicated. A page is flagged
+when it is list-dense (most of its text is no sentence), keyword phrases are a fair part of it, and
+its list text is stitched from replicated phrases. All must hold: replication decides which
+list-dense pages are flagged, and without other hosts none is.
 
 Honest lists, tables and link collections stay: their entries differ, so they have few such phrases.
 
@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.lines import STOP, WORD, is_latin, menu_share
@@ -136,18 +136,19 @@ _TAG = re.compile(r"(?<![\w@])#(\w{3,})")
 _PART = re.compile(r"[^\W\d_]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 _TOKEN = re.compile(r"[^\W_]+|[\x00\x01]")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_WORD_OF: dict[str, tuple[int, int]] = {}  # hash and kind of the words seen by this worker
+_WORD_OF: dict[str, tuple[int, int, int]] = {}  # of the words seen by this worker: hash where numbers are alike, kind, hash as written
 _STOPS, _NUMBER, _LINKS, _ARTICLE, _PLAIN = 1, 2, 3, 4, 0
 
 
-def _told(word: str) -> tuple[int, int]:
+def _told(word: str) -> tuple[int, int, int]:
     if word == "\x01":
-        return 1, _LINKS
+        return 1, _LINKS, 1
+    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 8
     if word.isdigit():
-        return 2, _NUMBER
+        return 2, _NUMBER, h
     if word[-1].isdigit() and word[0].isalpha():
-        return 3, _ARTICLE
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 8, _STOPS if word in STOP else _PLAIN
+        return 3, _ARTICLE, h
+    return h, _STOPS if word in STOP else _PLAIN, h
 
 
 def _prepared(text: str) -> str:
@@ -160,13 +161,24 @@ def _prepared(text: str) -> str:
     return text.lower()
 
 
-def phrases(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrases of each text; for each keyword phrase the number of its text, and its hash)."""
+def _hashed(words: Callable[[int], np.ndarray], n: int) -> np.ndarray:
+    """One hash of five words each."""
+    out = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            out = (out ^ words(k)) * _ODD[k]
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrases of each text; for each phrase the number of its text, its hash as written, and whether it is a keyword phrase; for each keyword phrase its hash without the keywords)."""
     size = np.zeros(len(texts), dtype=np.int64)
     none = np.empty(0, dtype=np.int64)
+    nothing = none, none, none.astype(bool), none
     tokens = _TOKEN.findall("\x00".join(map(_prepared, texts)))
     if len(tokens) < SHINGLE:
-        return size, none, none
+        return size, *nothing
     if len(_WORD_OF) > 500_000:
         _WORD_OF.clear()
     distinct = set(tokens)
@@ -174,7 +186,7 @@ def phrases(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _WORD_OF[w] = _told(w)
     number = {w: i for i, w in enumerate(distinct)}
     told = [_WORD_OF[w] for w in number]
-    word_hash, word_kind = np.array([h for h, _ in told], dtype=np.uint64), np.array([k for _, k in told], dtype=np.int8)
+    word_hash, word_kind, word_raw = np.array([h for h, _, _ in told], dtype=np.uint64), np.array([k for _, k, _ in told], dtype=np.int8), np.array([r for _, _, r in told], dtype=np.uint64)
     ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
     gap = ids == number.get("\x00", -1)
     page = np.cumsum(gap)
@@ -182,8 +194,8 @@ def phrases(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids) - SHINGLE + 1
     size = np.maximum(np.bincount(page, minlength=len(texts)) - SHINGLE + 1, 0)
     if n < 1:
-        return size, none, none
-    kind, h = word_kind[ids], word_hash[ids]
+        return size, *nothing
+    kind, h, raw = word_kind[ids], word_hash[ids], word_raw[ids]
     own = page * len(number) + ids
     back, uses = np.unique(own, return_inverse=True, return_counts=True)[1:]
     key = (kind == _PLAIN) & (uses[back] >= REPEATED)
@@ -196,79 +208,124 @@ def phrases(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key[mid[uses[back] >= REPEATED]] = True
     filled = key | (kind == _LINKS) | (kind == _ARTICLE)
     total = np.concatenate(([0], np.cumsum(filled)))
-    at = np.flatnonzero((total[SHINGLE:] - total[:-SHINGLE] >= KEYWORDS) & (page[:n] == page[SHINGLE - 1 :]))
-    out = np.zeros(len(at), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            mine = h[at + k]
-            place = np.full(len(at), k, dtype=np.uint64)  # the first place of the same keyword in the phrase
-            for j in range(k - 1, -1, -1):
-                place = np.where(ids[at + j] == ids[at + k], np.uint64(j), place)
-            mine = np.where(key[at + k], place + np.uint64(100), mine)
-            out = (out ^ mine) * _ODD[k]
-            out ^= out >> np.uint64(29)
-    return size, page[at], out.view(np.int64)
+    every = np.flatnonzero(page[:n] == page[SHINGLE - 1 :])
+    keyed = total[every + SHINGLE] - total[every] >= KEYWORDS
+    at = every[keyed]
+
+    def left_out(k: int) -> np.ndarray:
+        place = np.full(len(at), k, dtype=np.uint64)  # the first place of the same keyword in the phrase
+        for j in range(k - 1, -1, -1):
+            place = np.where(ids[at + j] == ids[at + k], np.uint64(j), place)
+        return np.where(key[at + k], place + np.uint64(100), h[at + k])
+
+    return size, page[every], _hashed(lambda k: raw[every + k], len(every)), keyed, _hashed(left_out, len(at))
+
+
+def phrases(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrases of each text; for each keyword phrase the number of its text, and its hash without the keywords)."""
+    size, page, _, keyed, patterns = shingles(texts)
+    return size, page[keyed], patterns
+
 
+def _ends(page: np.ndarray, n: int) -> list[int]:
+    return np.searchsorted(page, np.arange(n + 1)).tolist()
 
-def page_phrases(texts: list[str]) -> dict[str, tuple]:
-    """(list density, phrases of the list text, its keyword phrases, distinct keyword phrases of the page) of the texts that have keyword phrases."""
+
+def list_phrases(texts: list[str]) -> dict[str, tuple]:
+    """(list density, number of phrases of the list text; of its distinct phrases the hash as written, the hash without keywords where it is a keyword phrase, and the uses) of the list-dense texts that have enough keyword phrases."""
     out: dict[str, tuple] = {}
     for start in range(0, len(texts), BATCH):
         some = texts[start : start + BATCH]
-        size, page, found = phrases(some)
-        ends = np.searchsorted(page, np.arange(len(some) + 1)).tolist()
+        size, page, _ = phrases(some)
+        ends = _ends(page, len(some))
         lists = []
-        for i, (a, b) in enumerate(zip(ends, ends[1:])):
-            if a == b:
-                continue
-            out[some[i]] = (None, 0, [], np.unique(found[a:b]))
-            if b - a >= KEYED * size[i] and (e := page_evidence([s for x in some[i].split("\n") if (s := x.strip())]))["dense"]:
-                lists.append((some[i], e))
-        size, page, found = phrases([e["text"] for _, e in lists])
-        ends = np.searchsorted(page, np.arange(len(lists) + 1)).tolist()
-        for k, (t, e) in enumerate(lists):
-            out[t] = (e["density"], int(size[k]), found[ends[k] : ends[k + 1]], out[t][3])
+        for t, n, a, b in zip(some, size, ends, ends[1:]):
+            if b > a and b - a >= KEYED * n and (e := page_evidence([s for x in t.split("\n") if (s := x.strip())]))["dense"]:
+                lists.append((t, e))
+        _, page, words, keyed, left_out = shingles([e["text"] for _, e in lists])
+        patterns = words.copy()
+        patterns[keyed] = left_out
+        ends = _ends(page, len(lists))
+        for (t, e), a, b in zip(lists, ends, ends[1:]):
+            both, uses = np.unique(np.stack((words[a:b], patterns[a:b])), axis=1, return_counts=True)
+            out[t] = (e["density"], b - a, both[0], both[1], uses)
     return out
 
 
-def evidence(rows: DataFrame, key: str, host: str, text: str) -> DataFrame:
-    """Of each page with keyword phrases: ``_key``, ``_host``, list density (NULL where the page has few), phrases of its list text and ``phrases`` (those that are keyword phrases), and ``_all`` (those of the whole page, each once); no shuffle."""
-    chosen = rows.select(F.col(key).alias("_key"), F.coalesce(F.xxhash64(F.col(host)), F.lit(0)).alias("_host"), F.col(text).cast("string").alias("_text")).filter(F.col("_text").isNotNull())
+def _texts(rows: DataFrame, key: Column, text: str) -> DataFrame:
+    return rows.select(key.alias("_key"), F.col(text).cast("string").alias("_text")).filter(F.col("_text").isNotNull())
+
+
+def evidence(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Of each list-dense page with enough keyword phrases: ``_key``, list density, ``n_phrases`` of its list text, and its distinct phrases, ``phrases`` as written and ``patterns`` without keywords, with their ``uses``; no shuffle."""
+    chosen = _texts(rows, F.col(key), text)
     key_type = chosen.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            found = page_phrases(list(dict.fromkeys(texts)))  # captures repeat: each text once
+            texts = b.column(1).to_pylist()
+            found = list_phrases(list(dict.fromkeys(texts)))  # captures repeat: each text once
             at = [i for i, t in enumerate(texts) if t in found]
-            cols = list(zip(*[found[texts[i]] for i in at])) or [(), (), (), ()]
-            mine = pa.array(at, pa.int64())
+            cols = list(zip(*[found[texts[i]] for i in at])) or [()] * 5
             many = pa.list_(pa.int64())
-            arrays = [b.column(0).take(mine), b.column(1).take(mine), *[pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), many, many))]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_key", "_host", "density", "n_phrases", "phrases", "_all"])
+            arrays = [b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), many, many, many))]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_key", "density", "n_phrases", "phrases", "patterns", "uses"])
+
+    return chosen.mapInArrow(run, f"_key {key_type}, density double, n_phrases int, phrases array<bigint>, patterns array<bigint>, uses array<bigint>")
+
+
+def host_phrases(rows: DataFrame, host: str, text: str) -> DataFrame:
+    """``_host`` and ``phrase`` of every phrase of every page, in both forms, each once a batch."""
+    chosen = _texts(rows, F.coalesce(F.xxhash64(F.col(host)), F.lit(0)), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts_of: dict[str, set[int]] = {}
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hosts_of.setdefault(t, set()).add(h)
+            texts = list(hosts_of)
+            hosts, found = [], []
+            for start in range(0, len(texts), BATCH):
+                some = texts[start : start + BATCH]
+                _, page, words, keyed, patterns = shingles(some)
+                for numbers, forms in ((page, words), (page[keyed], patterns)):
+                    ends = _ends(numbers, len(some))
+                    for t, x, y in zip(some, ends, ends[1:]):
+                        for h in hosts_of[t] if y > x else ():
+                            hosts.append(np.full(y - x, h, dtype=np.int64))
+                            found.append(forms[x:y])
+            if not found:
+                continue
+            host, phrase = np.concatenate(hosts), np.concatenate(found)
+            order = np.lexsort((phrase, host))
+            host, phrase = host[order], phrase[order]
+            new = np.concatenate(([True], (host[1:] != host[:-1]) | (phrase[1:] != phrase[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(host[new]), pa.array(phrase[new])], names=["_host", "phrase"])
 
-    return chosen.mapInArrow(run, f"_key {key_type}, _host bigint, density double, n_phrases int, phrases array<bigint>, _all array<bigint>")
+    return chosen.mapInArrow(run, "_host bigint, phrase bigint")
 
 
-def phrase_hosts(pages: DataFrame) -> DataFrame:
+def phrase_hosts(pairs: DataFrame) -> DataFrame:
     """``phrase`` and ``n_hosts`` of the phrases that at least ``HOSTS`` hosts have."""
-    per_host = pages.select("_host", F.explode("_all").alias("phrase")).distinct()
-    return per_host.groupBy("phrase").agg(F.count("*").alias("n_hosts")).filter(F.col("n_hosts") >= HOSTS)
+    return pairs.distinct().groupBy("phrase").agg(F.count("*").alias("n_hosts")).filter(F.col("n_hosts") >= HOSTS)
 
 
 def replicated_share(dense: DataFrame, counts: DataFrame) -> DataFrame:
-    """``_row`` and ``replicated``: share of the phrases of a page's list text that other hosts have too.
+    """``_row`` and ``replicated``: share of the phrases of a page's list text that other hosts have too, as written or without keywords.
 
-    A phrase that a third of all pages have is spread over ``SALTS`` parts, with its count beside each.
+    A phrase that a third of all pages have is spread over ``SALTS`` parts, with its count beside each; only
+    phrases of these pages are.
     """
-    own = dense.select("_row", "n_phrases", F.explode("phrases").alias("phrase")).groupBy("_row", "n_phrases", "phrase").agg(F.count("*").alias("_n")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-    salted = counts.select("phrase", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return own.join(salted, ["phrase", "_salt"]).groupBy("_row", "n_phrases").agg((F.sum("_n") / F.col("n_phrases")).alias("replicated")).drop("n_phrases")
+    wanted = dense.select(F.explode(F.concat("phrases", "patterns")).alias("phrase")).distinct()
+    salted = counts.join(wanted, "phrase", "left_semi").select("phrase", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = dense.select("_row", "n_phrases", F.posexplode(F.arrays_zip("phrases", "patterns", "uses")).alias("_at", "_p"))
+    forms = own.select("_row", "n_phrases", "_at", F.col("_p.uses").alias("_n"), F.explode(F.array_distinct(F.array("_p.phrases", "_p.patterns"))).alias("phrase")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    once = forms.join(salted, ["phrase", "_salt"]).groupBy("_row", "n_phrases", "_at").agg(F.first("_n").alias("_n"))
+    return once.groupBy("_row", "n_phrases").agg((F.sum("_n") / F.col("n_phrases")).alias("replicated")).drop("n_phrases")
 
 
 def stuffed_pages(rows: DataFrame, key: str, host: str, text: str) -> DataFrame:
     """Flagged pages: ``key``, ``density`` and ``replicated``."""
-    pages = written(evidence(rows, key, host, text).withColumn("_row", F.monotonically_increasing_id()), "stuffed-phrases")
-    dense = pages.filter("density IS NOT NULL")
-    share = replicated_share(dense, phrase_hosts(pages)).filter(F.col("replicated") >= STITCHED)
+    dense = written(evidence(rows, key, text).withColumn("_row", F.monotonically_increasing_id()), "stuffed-lists")
+    share = replicated_share(dense, phrase_hosts(host_phrases(rows, host, text))).filter(F.col("replicated") >= STITCHED)
     return dense.select("_row", F.col("_key").alias(key), "density").join(share, "_row").drop("_row")
